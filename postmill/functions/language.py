@@ -71,12 +71,12 @@ class StopWordDetector:
     def _scores(self, text: Column) -> Column:
         tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
 
+        def hits(found: Column, words: list[str]) -> Column:
+            return F.size(F.filter(found, lambda token: token.isin(words)))
+
         def count_all(found: Column) -> Column:
             return F.array(*[
-                F.struct(
-                    F.size(F.filter(found, lambda t, w=words: t.isin(w))).alias("score"),
-                    F.lit(lang).alias("lang"),
-                )
+                F.struct(hits(found, words).alias("score"), F.lit(lang).alias("lang"))
                 for lang, words in sorted(self.words.items())
             ])
 
@@ -137,17 +137,16 @@ class ProfileDetector:
             raise
 
     def _scores(self, text: Column) -> Column:
+        def score(buckets: Column, lang: str) -> Column:
+            table = F.from_json(F.lit(json.dumps(self.weights[lang])), "array<int>")
+            prior = F.lit(self.priors.get(lang, 0)).cast("long")
+            return F.aggregate(buckets, prior, lambda total, bucket: total + F.get(table, bucket))
+
         def sum_all(buckets: Column) -> Column:
-            scored = []
-            for lang in sorted(self.weights):
-                table = F.from_json(F.lit(json.dumps(self.weights[lang])), "array<int>")
-                score = F.aggregate(
-                    buckets,
-                    F.lit(self.priors.get(lang, 0)).cast("long"),
-                    lambda acc, b, t=table: acc + F.get(t, b),
-                )
-                scored.append(F.struct(score.alias("score"), F.lit(lang).alias("lang")))
-            return F.array(*scored)
+            return F.array(*[
+                F.struct(score(buckets, lang).alias("score"), F.lit(lang).alias("lang"))
+                for lang in sorted(self.weights)
+            ])
 
         return _bind(trigram_buckets(text), sum_all)
 

@@ -29,7 +29,8 @@ def greedy_dedup(
     Only (order, id, pair) travels through the rounds; whole rows join back at the end on
     the unique order. Each round writes two shrinking tables to the checkpoint folder.
     """
-    place = F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate(order)])
+    # A single number keeps the minima in hash aggregates; a struct has to be sorted.
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate(order)])
     edges = rows.select(
         place.alias(_ORDER), F.struct(F.col(id_key)).alias(_ID), F.struct(F.col(pair_key)).alias(_PAIR)
     )

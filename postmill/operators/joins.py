@@ -16,12 +16,12 @@ def normal(text: Column) -> Column:
     return F.lower(strip(F.coalesce(text, F.lit(""))))
 
 
-def identity_keys(title: str = "title", company: str = "company", job_id: str = "job_id") -> list[Column]:
+def identity_keys(title: str = "title", company: str = "company", job_id: str = "job_id") -> dict[str, Column]:
     """Two keys make postings the same: the id, or the pair of title and company."""
-    return [
-        F.coalesce(F.col(job_id), F.lit("")).alias(ID_KEY),
-        F.struct(normal(F.col(title)).alias("t"), normal(F.col(company)).alias("c")).alias(PAIR_KEY),
-    ]
+    return {
+        ID_KEY: F.coalesce(F.col(job_id), F.lit("")),
+        PAIR_KEY: F.struct(normal(F.col(title)).alias("t"), normal(F.col(company)).alias("c")),
+    }
 
 
 def anti_join_prior(
@@ -36,8 +36,8 @@ def anti_join_prior(
     The kept side is reduced to one row per key first. With `rows`, the number of cards in
     a checkpointed table, keys holding much of them are found and kept out of the shuffle.
     """
-    keyed = cards.select("*", *identity_keys())
-    kept = prior.select(*identity_keys())
+    keyed = cards.withColumns(identity_keys())
+    kept = prior.withColumns(identity_keys())
     for key in (ID_KEY, PAIR_KEY):
         hot = runtime.hot_keys(keyed, key, rows or 0, hot_min_rows)
         keyed = runtime.split_by_membership(keyed, kept.select(key).distinct(), key, hot)

@@ -73,9 +73,7 @@ def empty_run_stop(counts: DataFrame, run: int = MAX_EMPTY_PAGES, block: int = B
 
     Each block also reads the run - 1 pages before it, so runs across blocks count.
     """
-    homes = F.array_distinct(
-        F.array(F.floor(F.col("page") / block), F.floor((F.col("page") + run - 1) / block))
-    )
+    homes = F.sequence(F.floor(F.col("page") / block), F.floor((F.col("page") + run - 1) / block))
     recent = W.partitionBy("position", "_block").orderBy("page").rowsBetween(1 - run, 0)
     runs = (
         counts.select("position", "page", "n", F.explode(homes).alias("_block"))

@@ -104,7 +104,7 @@ class _BoardA:
             titled, details.select("job_id"), "job_id", hot, keep_members=True
         )
         order = F.shiftleft(F.col("page").cast("long"), 31) + F.col("card")
-        candidates = candidates.select("*", *identity_keys(), order.alias("_order"))
+        candidates = candidates.withColumns({**identity_keys(), "_order": order})
         return status, runtime.cut_lineage(candidates)
 
     def read_details(self, wanted: DataFrame) -> DataFrame:

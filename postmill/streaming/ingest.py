@@ -35,20 +35,20 @@ def keep_new(
     rows = batch.count()
     if prior is not None:
         prior = prior.select("title", "company", "job_id")
-        keys = batch.select(*identity_keys()).select(
+        keys = batch.withColumns(identity_keys()).select(
             ID_KEY, F.col(PAIR_KEY)["t"].alias("_t"), F.col(PAIR_KEY)["c"].alias("_c")
         )
         if runtime.fits_broadcast(keys, limit_bytes):
             prior = _touching(prior, batch)
         batch = runtime.cut_lineage(anti_join_prior(batch, prior, rows))
-    keyed = batch.select("*", *identity_keys())
+    keyed = batch.withColumns(identity_keys())
     return greedy_dedup(keyed, order, ID_KEY, PAIR_KEY).select(batch.columns)
 
 
 def _touching(prior: DataFrame, batch: DataFrame) -> DataFrame:
     """Kept postings that share a key with the batch."""
-    keyed = prior.select("*", *identity_keys())
-    keys = batch.select(*identity_keys())
+    keyed = prior.withColumns(identity_keys())
+    keys = batch.withColumns(identity_keys())
     same = [
         keyed.join(F.broadcast(keys.select(key).distinct()), key, "left_semi").select(prior.columns)
         for key in (ID_KEY, PAIR_KEY)
