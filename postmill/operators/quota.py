@@ -114,3 +114,22 @@ def pages_used(
     used = counts if failed is None else failed_page_stop(counts, failed)
     used = empty_run_stop(used, run, block)
     return total_quota(used, order, cap_position, cap_total, block)
+
+
+def short_position_used(
+    counts: DataFrame, cap: int, failed: Column, run: int = MAX_EMPTY_PAGES
+) -> DataFrame:
+    """The same rules for positions known to have at most BLOCK pages: one window each."""
+    ordered = W.partitionBy("position").orderBy("page")
+    earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
+    recent = ordered.rowsBetween(1 - run, 0)
+    return (
+        counts.withColumn("_ends", F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).over(recent) == run)
+        .withColumns({
+            "_before": F.coalesce(F.sum("n").over(earlier), F.lit(0)),
+            "_ended": F.coalesce(F.max("_ends").over(earlier), F.lit(False)),
+            "_failed": F.max(failed).over(ordered.rowsBetween(W.unboundedPreceding, 0)),
+        })
+        .filter((F.col("_before") < cap) & ~F.col("_ended") & ~F.col("_failed"))
+        .drop("_ends", "_before", "_ended", "_failed")
+    )

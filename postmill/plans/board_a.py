@@ -22,7 +22,7 @@ from postmill.operators.filters import quarantine_split, valid_link_filter
 from postmill.operators.greedy import greedy_dedup
 from postmill.operators.joins import ID_KEY, PAIR_KEY, anti_join_prior, identity_keys
 from postmill.operators.language import language_filter
-from postmill.operators.quota import pages_used
+from postmill.operators.quota import BLOCK, pages_used, short_position_used
 from postmill.plans.run import Run
 from postmill.schema import conform
 from postmill.sources.frontier import search_frontier_a
@@ -136,8 +136,8 @@ class _BoardA:
             own_cards = candidates.filter(F.col("position_no") == position_no)
             last = first_pages
             while True:
-                new, taken, finished = self.position(own_status, own_cards, kept, search.max_jobs - total)
-                if finished:
+                new, taken = self.position(own_status, own_cards, kept, search.max_jobs - total, last)
+                if taken.count() < last:
                     break
                 more_status, more_cards = self.gather(last, 2 * last - 1, position_no)
                 own_status = own_status.unionByName(more_status)
@@ -149,8 +149,8 @@ class _BoardA:
         progress = _union(used, status.select("position_no", "position", "page", F.lit(0).alias("n")))
         return _union(kept, candidates), metrics.progress_metrics(progress, "position_no")
 
-    def position(self, status: DataFrame, cards: DataFrame, kept: list[DataFrame], room: int):
-        """(new cards, pages used, whether the position ended inside its pages)."""
+    def position(self, status: DataFrame, cards: DataFrame, kept: list[DataFrame], room: int, pages: int):
+        """(new cards, pages used) of a position with this many gathered pages."""
         for earlier in kept:
             cards = anti_join_prior(cards, earlier)
         if kept:
@@ -158,15 +158,15 @@ class _BoardA:
         fresh = greedy_dedup(cards, ["_order"], ID_KEY, PAIR_KEY, self.hot_min_rows)
         fresh = runtime.cut_lineage(fresh)
         per_page = fresh.groupBy("page").agg(F.count(F.lit(1)).alias("n"))
-        counts = runtime.cut_lineage(
-            status.join(per_page, "page", "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
-        )
-        used = pages_used(
-            counts, "position_no", self.search.max_jobs_per_position, room, failed=F.col("failed")
-        )
+        counts = status.join(per_page, "page", "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
+        cap, failed = self.search.max_jobs_per_position, F.col("failed")
+        if pages <= BLOCK:
+            used = short_position_used(counts, min(cap, room), failed)
+        else:
+            used = pages_used(counts, "position_no", cap, room, failed)
         used = runtime.cut_lineage(used.select("position_no", "position", "page", "n"))
         new = runtime.cut_lineage(fresh.join(used.select("page"), "page", "left_semi"))
-        return new, used, used.count() < counts.count()
+        return new, used
 
 
 def _union(tables: list[DataFrame], otherwise: DataFrame) -> DataFrame:

@@ -66,6 +66,14 @@ def test_random_positions(spark, block):
         assert used_pages(spark, counts, cap, cap_total, block) == walk(counts, cap, cap_total)
 
 
+def test_short_positions(spark):
+    rng = random.Random(5)
+    lists = [[rng.choice([0, 0, 0, 1, 3]) if rng.random() > 0.01 else None for _ in range(30)] for _ in range(60)]
+    counts = counts_of(lists)
+    used = quota.short_position_used(spark.createDataFrame(counts, SCHEMA), 20, F.col("failed"))
+    assert sorted((r.position_no, r.page) for r in used.collect()) == walk(counts, 20, 10**9)
+
+
 def test_progress(spark):
     counts = counts_of([[2, 0, 3], [1], [4, 4]])
     df = spark.createDataFrame(counts, SCHEMA)
