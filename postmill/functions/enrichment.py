@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postmill import fixed_values as fixed
+from postmill.functions.binding import bind
 
 ANALYSIS_TYPE = (
     "struct<required_studies:string,technologies_required:array<string>,"
@@ -122,12 +123,7 @@ def technologies(description: Column, names: list[str] | None = None) -> Column:
     )
     spelled = F.array(*[F.lit(n) for n in sorted(names)])
     known = F.array_intersect(words, F.array(*[F.lit(n.lower()) for n in names]))
-    return F.get(
-        F.transform(
-            F.array(known), lambda k: F.filter(spelled, lambda n: F.array_contains(k, F.lower(n)))
-        ),
-        F.lit(0),
-    )
+    return bind(known, lambda k: F.filter(spelled, lambda n: F.array_contains(k, F.lower(n))))
 
 
 

@@ -1,21 +1,21 @@
-"""Language identification as row-local column expressions.
+"""Language identification, row by row.
 
 A detector is anything with `detect(column) -> column`. Two are built in: counts of
-frequent words, and a character-trigram profile learned by a Spark aggregation (see
-operators/language.py). Both read a text where it lies: no explode, join or shuffle.
+frequent words as a plain expression, and a character-trigram profile learned by a Spark
+aggregation (see operators/language.py). Both read a text where it lies: no explode, join
+or shuffle.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from postmill.functions.markup import strip
+from postmill.functions.binding import bind
+from postmill.functions.trigrams import BUCKETS, trigram_buckets
 
 UNKNOWN = "unknown"
 
@@ -26,37 +26,11 @@ STOP_WORDS = {
     "fr": "le la les des un une et est que qui dans pour sur pas avec du au ce sont elle".split(),
 }
 
-# Trigrams of code points fall into this many buckets by a polynomial over the points.
-BUCKETS = 8192
-BASE = 31
 # Weights are thousandths of a natural logarithm, so sums are exact.
 SCALE = 1000
 MAX_LANGUAGES = 256
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once per row and use it many times in `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def letters_only(text: Column) -> Column:
-    """Lower case, every run of other characters one space, a space at both ends."""
-    return F.concat(
-        F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" ")
-    )
-
-
-def trigram_buckets(text: Column) -> Column:
-    """One bucket number per trigram, in linear time."""
-    points = F.transform(F.split(letters_only(text), ""), F.ascii)
-
-    def shifted(by: int) -> Column:
-        return F.slice(points, F.lit(1 + by), F.greatest(F.size(points) - 2, F.lit(0)))
-
-    pairs = F.zip_with(shifted(0), shifted(1), lambda a, b: a * BASE + b)
-    return F.zip_with(pairs, shifted(2), lambda ab, c: (ab * BASE + c) % BUCKETS)
-
-
 def _best(scored: Column) -> Column:
     """Highest (score, lang); ties go to the later name."""
     return F.array_max(scored)
@@ -80,11 +54,11 @@ class StopWordDetector:
                 for lang, words in sorted(self.words.items())
             ])
 
-        return _bind(tokens, count_all)
+        return bind(tokens, count_all)
 
     def detect(self, text: Column) -> Column:
         best = _best(self._scores(text))
-        return _bind(best, lambda b: F.when(b["score"] > 0, b["lang"]).otherwise(F.lit(UNKNOWN)))
+        return bind(best, lambda b: F.when(b["score"] > 0, b["lang"]).otherwise(F.lit(UNKNOWN)))
 
     def detect_with_confidence(self, text: Column) -> Column:
         """struct(lang, confidence): the share of all hits the language has."""
@@ -97,35 +71,37 @@ class StopWordDetector:
                 F.when(total > 0, best["score"] / total).otherwise(F.lit(0.0)).alias("confidence"),
             )
 
-        return _bind(self._scores(text), judge)
+        return bind(self._scores(text), judge)
 
 
-@dataclass(frozen=True)
 class ProfileDetector:
     """Naive Bayes over hashed trigrams; every text that is not blank gets a label.
 
-    The weights hold BUCKETS integers per language, whatever amount of text they were
-    learned from, so the literal inside the plan has a fixed bound.
+    The weights are BUCKETS integers per language, whatever amount of text they were
+    learned from, so what travels to the workers has a fixed bound. Texts are scored in
+    Arrow batches where they lie.
     """
 
-    weights: dict[str, list[int]]
-    priors: dict[str, int] = field(default_factory=dict)
+    def __init__(self, weights: dict[str, list[int]], priors: dict[str, int] | None = None):
+        self.languages = sorted(weights)
+        self.weights = np.array([weights[lang] for lang in self.languages], dtype=np.int64)
+        self.priors = np.array([(priors or {}).get(lang, 0) for lang in self.languages], dtype=np.int64)
 
     @classmethod
     def from_table(cls, profile: DataFrame) -> ProfileDetector:
         """Take in a profile table; its size is bounded and checked."""
         bound = MAX_LANGUAGES * (BUCKETS + 2)
-        rows = profile.select("lang", "kind", "bucket", "weight").limit(bound + 1).collect()
+        rows = profile.select("lang", "kind", "bucket", "weight").limit(bound + 1).toPandas()
         if len(rows) > bound:
             raise ValueError(f"a profile holds at most {MAX_LANGUAGES} languages")
-        if not rows:
+        if rows.empty:
             raise ValueError("the profile is empty")
-        unseen = {r.lang: r.weight for r in rows if r.kind == "unseen"}
-        weights = {lang: [w] * BUCKETS for lang, w in unseen.items()}
-        for r in rows:
-            if r.kind == "gram":
-                weights[r.lang][r.bucket] = r.weight
-        return cls(weights, {r.lang: r.weight for r in rows if r.kind == "prior"})
+        unseen = rows[rows.kind == "unseen"].set_index("lang").weight
+        weights = {}
+        for lang, grams in rows[rows.kind == "gram"].groupby("lang"):
+            weights[lang] = np.full(BUCKETS, unseen[lang])
+            weights[lang][grams.bucket] = grams.weight
+        return cls(weights, rows[rows.kind == "prior"].set_index("lang").weight.to_dict())
 
     @classmethod
     def load(cls, spark, path: str) -> ProfileDetector:
@@ -136,38 +112,29 @@ class ProfileDetector:
                 raise FileNotFoundError(f"no language profile at {path}") from error
             raise
 
-    def _scores(self, text: Column) -> Column:
-        def score(buckets: Column, lang: str) -> Column:
-            table = F.from_json(F.lit(json.dumps(self.weights[lang])), "array<int>")
-            prior = F.lit(self.priors.get(lang, 0)).cast("long")
-            return F.aggregate(buckets, prior, lambda total, bucket: total + F.get(table, bucket))
+    def _judge(self, text: str | None) -> tuple[str, float]:
+        if text is None or not text.strip():
+            return UNKNOWN, 0.0
+        scores = self.priors + self.weights[:, trigram_buckets(text)].sum(axis=1)
+        best = scores.max()
+        winner = len(scores) - 1 - int(np.argmax(scores[::-1]))
+        return self.languages[winner], float(1 / np.exp((scores - best) / SCALE).sum())
 
-        def sum_all(buckets: Column) -> Column:
-            return F.array(*[
-                F.struct(score(buckets, lang).alias("score"), F.lit(lang).alias("lang"))
-                for lang in sorted(self.weights)
-            ])
+    def detect(self, text: Column) -> Column:
+        judge = self._judge
 
-        return _bind(trigram_buckets(text), sum_all)
+        @F.pandas_udf("string")
+        def detect(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda one: judge(one)[0])
 
-    def detect(self, text: Column) -> Column:
-        return F.when(_is_blank(text), F.lit(UNKNOWN)).otherwise(_best(self._scores(text))["lang"])
+        return detect(text)
 
     def detect_with_confidence(self, text: Column) -> Column:
         """struct(lang, confidence): the posterior of the best language."""
+        judge = self._judge
 
-        def judge(scored: Column) -> Column:
-            best = _best(scored)
-            weight = F.aggregate(
-                scored,
-                F.lit(0.0),
-                lambda acc, s: acc + F.exp((s["score"] - best["score"]) / F.lit(float(SCALE))),
-            )
-            return F.struct(best["lang"].alias("lang"), (1 / weight).alias("confidence"))
-
-        blank = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("confidence"))
-        return F.when(_is_blank(text), blank).otherwise(_bind(self._scores(text), judge))
-
+        @F.pandas_udf("lang string, confidence double")
+        def detect(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([judge(one) for one in texts], columns=["lang", "confidence"])
 
-def _is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text), F.lit("")) == ""
+        return detect(text)

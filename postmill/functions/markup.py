@@ -11,6 +11,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.binding import bind
+
 # Whitespace as Python's str methods see it: Unicode spaces and the four separators.
 _SPACE = r"[\s\x1c-\x1f]"
 # The inside of a tag: attribute values in quotes may hold '>'.
@@ -91,14 +93,18 @@ def _decode_every_entity(text: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Decode character references once; the semicolon may be missing."""
-    common = text
-    for name, char in _COMMON.items():
-        common = F.regexp_replace(common, rf"&{name}(?:;|(?![a-zA-Z0-9]))", char)
-    return (
-        F.when(~F.contains(text, F.lit("&")), text)
-        .when(~text.rlike(_OTHER_ENTITY), common)
-        .otherwise(_decode_every_entity(text))
-    )
+
+    def decode(plain: Column) -> Column:
+        common = plain
+        for name, char in _COMMON.items():
+            common = F.regexp_replace(common, rf"&{name}(?:;|(?![a-zA-Z0-9]))", char)
+        return (
+            F.when(~F.contains(plain, F.lit("&")), plain)
+            .when(~plain.rlike(_OTHER_ENTITY), common)
+            .otherwise(_decode_every_entity(plain))
+        )
+
+    return bind(text, decode)
 
 
 def html_to_text(markup: Column) -> Column:
@@ -130,10 +136,26 @@ def open_tag(attribute: str, name: str = r"[a-zA-Z][a-zA-Z0-9]*") -> str:
 def balanced(rest: Column, tag: Column) -> Column:
     """`rest` up to the close tag that matches a `tag` opened just before it.
 
-    Cuts the text at every tag of that name and walks the depth; an element that is
-    never closed runs to the end.
+    Mostly nothing of that name lies between, and the first close tag is the one.
+    Otherwise the text is cut at every tag of that name and the depth is walked; an
+    element that is never closed runs to the end.
     """
-    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s>/])")))
+    close = F.concat(F.lit("</"), tag)
+
+    def until(rest: Column, plain: Column) -> Column:
+        low = F.lower(plain)
+        after = F.substr(rest, F.length(plain) + F.length(close) + 1, F.lit(1))
+        alone = ~F.contains(low, F.lower(close)) & ~F.contains(low, F.lower(F.concat(F.lit("<"), tag)))
+        return F.when(alone & after.isin(">", " ", "\n"), plain).otherwise(_balanced_by_depth(rest, tag))
+
+    def cut(rest: Column) -> Column:
+        return bind(F.call_function("substring_index", rest, close, F.lit(1)), lambda plain: until(rest, plain))
+
+    return bind(rest, cut)
+
+
+def _balanced_by_depth(rest: Column, tag: Column) -> Column:
+    cut_at = F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s>/])"))
     start = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("taken"))
 
     def step(state: Column, piece: Column) -> Column:
@@ -145,15 +167,22 @@ def balanced(rest: Column, tag: Column) -> Column:
             )
         )
 
-    walked = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step)
-    return F.array_join(F.slice(pieces, F.lit(1), walked["taken"]), "")
+    def cut(pieces: Column) -> Column:
+        walked = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step)
+        return F.array_join(F.slice(pieces, F.lit(1), walked["taken"]), "")
+
+    return bind(F.split(rest, cut_at), cut)
 
 
 def first_inner(markup: Column, attribute: str, name: str = r"[a-zA-Z][a-zA-Z0-9]*") -> Column:
     """Inner markup of the first element with this attribute; null when there is none."""
-    pattern = rf"(?s){open_tag(attribute, name)}(.*)\z"
-    tag = F.regexp_extract(markup, pattern, 1)
-    return F.when(tag != "", balanced(F.regexp_extract(markup, pattern, 2), tag))
+    opening = open_tag(attribute, name)
+
+    def inside(found: Column) -> Column:
+        tag = F.regexp_extract(found, r"\A<([a-zA-Z][a-zA-Z0-9]*)", 1)
+        return F.when(found != "", balanced(F.regexp_replace(found, rf"\A{opening}", ""), tag))
+
+    return bind(F.regexp_extract(markup, rf"(?s){opening}.*\z", 0), inside)
 
 
 def first_text(markup: Column, class_part: str) -> Column:

@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postmill.functions.language import BUCKETS, SCALE, trigram_buckets
+from postmill.functions.language import SCALE
+from postmill.functions.trigrams import BUCKETS, trigram_buckets
 
 
 def language_profile(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, kind, bucket, n, weight) from labelled text.
 
-    Trigram counts are aggregated before their shuffle, so a task sends at most
-    languages x BUCKETS rows however much text one language has. Everything after the
-    count works on that small table.
+    Every task counts the trigrams of its texts and sends at most languages x BUCKETS rows,
+    however much text one language has; everything after works on that small table.
     """
-    grams = (
-        labelled.filter(F.col(lang).isNotNull())
-        .select(F.col(lang).alias("lang"), F.explode(trigram_buckets(F.col(text))).alias("bucket"))
-        .groupBy("lang", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
+    labelled = labelled.filter(F.col(lang).isNotNull()).select(
+        F.col(text).alias("text"), F.col(lang).alias("lang")
     )
-    texts = (
-        labelled.filter(F.col(lang).isNotNull())
-        .groupBy(F.col(lang).alias("lang"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    grams = (
+        labelled.mapInPandas(_count_trigrams, "lang string, bucket int, n long")
+        .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     )
+    texts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy("lang"))
     smoothed = total + F.lit(BUCKETS)
     seen = grams.select(
@@ -45,6 +46,18 @@ def language_profile(labelled: DataFrame, text: str = "text", lang: str = "lang"
     return seen.unionByName(unseen).unionByName(prior)
 
 
+def _count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for one, lang in zip(batch.text, batch.lang):
+            if one is not None:
+                found = np.bincount(trigram_buckets(one), minlength=BUCKETS)
+                counts[lang] = counts[lang] + found if lang in counts else found
+    for lang, found in counts.items():
+        seen = np.flatnonzero(found)
+        yield pd.DataFrame({"lang": lang, "bucket": seen, "n": found[seen]})
+
+
 def _weight(share: Column) -> Column:
     return F.round(F.log(share) * SCALE).cast("int")
 

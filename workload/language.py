@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from postmill.functions.language import BASE, BUCKETS, SCALE, STOP_WORDS, ProfileDetector, StopWordDetector
+from postmill.functions.language import SCALE, STOP_WORDS, ProfileDetector, StopWordDetector
+from postmill.functions.trigrams import BASE, BUCKETS
 from postmill.operators import language as ops
 from workload.registry import query
 

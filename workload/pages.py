@@ -132,36 +132,36 @@ def card_detail_join(t):
     return join_details(t.documents.select("doc_id", "source"), t.labels, "doc_id")
 
 
-_POSTINGS = """(SELECT l_orderkey, l_linenumber, CAST(l_orderkey AS VARCHAR) AS job_id,
+_POSTINGS = """(SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 9973 * 7 + l_linenumber AS VARCHAR) AS job_id,
     ' Part ' || l_partkey AS title, 'Supplier ' || l_suppkey || ' ' AS company, l_shipdate FROM lineitem)"""
 
 
 @query(
     f"""SELECT l_orderkey, l_linenumber, job_id, title, company FROM {_POSTINGS} c
-    WHERE l_shipdate >= TIMESTAMP '1993-01-01'
-    AND NOT EXISTS (SELECT 1 FROM {_POSTINGS} p WHERE p.l_shipdate < TIMESTAMP '1993-01-01' AND p.job_id = c.job_id)
-    AND NOT EXISTS (SELECT 1 FROM {_POSTINGS} p WHERE p.l_shipdate < TIMESTAMP '1993-01-01'
+    WHERE l_shipdate >= TIMESTAMP '1995-06-01'
+    AND NOT EXISTS (SELECT 1 FROM {_POSTINGS} p WHERE p.l_shipdate < TIMESTAMP '1995-06-01' AND p.job_id = c.job_id)
+    AND NOT EXISTS (SELECT 1 FROM {_POSTINGS} p WHERE p.l_shipdate < TIMESTAMP '1995-06-01'
                     AND lower(trim(p.title)) = lower(trim(c.title))
                     AND lower(trim(p.company)) = lower(trim(c.company)))""",
     name="anti_join_prior",
 )
 def kept_before(t):
     postings = t.lineitem.select(
-        "l_orderkey", "l_linenumber", F.col("l_orderkey").cast("string").alias("job_id"),
+        "l_orderkey", "l_linenumber", (F.col("l_orderkey") % 9973 * 7 + F.col("l_linenumber")).cast("string").alias("job_id"),
         F.concat(F.lit(" Part "), "l_partkey").alias("title"),
         F.concat(F.lit("Supplier "), "l_suppkey", F.lit(" ")).alias("company"), "l_shipdate",
     )
-    start = F.lit("1993-01-01").cast("timestamp_ntz")
+    start = F.lit("1995-06-01").cast("timestamp_ntz")
     prior = postings.filter(F.col("l_shipdate") < start).withColumn("title", F.upper("title"))
     cards = postings.filter(F.col("l_shipdate") >= start).drop("l_shipdate")
     return anti_join_prior(cards, prior)
 
 
 @query(
-    """SELECT doc_id, url FROM (SELECT doc_id, CASE WHEN source LIKE '%e%' THEN source ELSE '' END AS url
+    """SELECT doc_id, url FROM (SELECT doc_id, CASE WHEN source LIKE '%1%' THEN source ELSE '' END AS url
     FROM documents) WHERE url <> ''""",
     name="valid_link_filter",
 )
 def links(t):
-    url = F.when(F.contains("source", F.lit("e")), F.col("source")).otherwise(F.lit(""))
+    url = F.when(F.contains("source", F.lit("1")), F.col("source")).otherwise(F.lit(""))
     return valid_link_filter(t.documents.select("doc_id", url.alias("url")))

@@ -12,7 +12,7 @@ counts AS (
     FROM (SELECT DISTINCT event_type AS position FROM events) p
     CROSS JOIN (SELECT unnest(range(0, (SELECT max(date_diff('hour', TIMESTAMP '2024-01-01', ts)) + 1 FROM events))) AS page) h
     LEFT JOIN (SELECT event_type AS position, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS page,
-                      count(*) FILTER (value > 15) AS n, count(*) AS events
+                      count(*) FILTER (value > 60) AS n, count(*) AS events
                FROM events GROUP BY 1, 2) c ON c.position = p.position AND c.page = h.page)
 """
 _BEFORE = "coalesce(sum(n) OVER (PARTITION BY position ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
@@ -22,7 +22,7 @@ def counts(t):
     hour = F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts")).cast("int")
     per_hour = (
         t.events.withColumn("page", hour).groupBy(F.col("event_type").alias("position"), "page")
-        .agg(F.count_if(F.col("value") > 15).alias("n"), F.count(F.lit(1)).alias("events"))
+        .agg(F.count_if(F.col("value") > 60).alias("n"), F.count(F.lit(1)).alias("events"))
     )
     last = t.events.agg(F.max(hour).alias("m")).first()["m"]
     grid = t.events.select(F.col("event_type").alias("position")).distinct().select(
