@@ -15,7 +15,7 @@ from postmill.operators.enrich import FIELDS_B, enrich, enrich_gate
 from postmill.operators.filters import quarantine_split
 from postmill.plans.run import Run
 from postmill.schema import conform
-from postmill.sources.frontier import search_frontier_b
+from postmill.sources.frontier import search_frontier_b, with_search_url_b
 from postmill.sources.page_store import extract_for, missing_pages
 
 
@@ -25,10 +25,18 @@ def run_board_b(
     as_of: datetime | str,
     detector,
     analyser=None,
+    phrases: DataFrame | None = None,
     hot_min_rows: int = runtime.HOT_MIN_ROWS,
 ) -> Run:
-    """Postings of the stored search pages of every phrase, with their details."""
-    frontier = search_frontier_b(pages.sparkSession, search)
+    """Postings of the stored search pages of every phrase, with their details.
+
+    Phrases come from the search settings, or from a table (position_no, position) of any
+    length.
+    """
+    if phrases is None:
+        frontier = search_frontier_b(pages.sparkSession, search)
+    else:
+        frontier = runtime.cut_lineage(with_search_url_b(phrases, search))
     searched = runtime.cut_lineage(extract_for(frontier, pages, "url", page_results))
     results, unreadable = embedded_results(searched)
     results = results.drop("url")

@@ -42,6 +42,10 @@ def search_frontier_b(spark: SparkSession, search: BoardBSearch) -> DataFrame:
     """(position_no, position, url)"""
     one = spark.range(1).select(F.lit(search.positions).alias("positions"))
     phrases = position_split(one, F.col("positions")).drop("positions")
+    return with_search_url_b(phrases, search)
+
+
+def with_search_url_b(phrases: DataFrame, search: BoardBSearch) -> DataFrame:
     return phrases.withColumn(
         "url",
         addresses.board_b_search_url(

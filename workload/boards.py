@@ -278,10 +278,13 @@ def embedded_detail(t):
     return posting_fields(t).select("page_id", embedded.embedded_detail(html).alias("description"))
 
 
-# Board B over the stored pages: one result page per phrase holds every posting of it.
-_SEARCH_B = BoardBSearch(
-    positions=",".join(POSITIONS), location="Paris", desired_language="en", use_analysis=True
-)
+# Board B over the stored pages: a phrase is a top-level domain with a number, and its
+# result page holds the postings of forty neighbouring pages.
+_SEARCH_B = BoardBSearch(location="Paris", desired_language="en", use_analysis=True)
+
+
+def _phrased(t):
+    return posting_fields(t).withColumn("phrase", F.concat("position", F.lit(" "), "page"))
 
 
 def _store_b(t):
@@ -295,28 +298,33 @@ def _store_b(t):
         F.transform(F.array_sort(F.collect_list(F.struct("page_id", result.alias("r")))), lambda x: x["r"]).alias("results"),
         F.array().cast("array<string>").alias("tierSummaries"),
     ).alias("mosaicProviderJobCardsModel")).alias("metaData")))
-    fields = posting_fields(t)
-    url = addresses.board_b_search_url(F.col("position"), F.lit("Paris"))
+    fields = _phrased(t)
+    url = addresses.board_b_search_url(F.col("phrase"), F.lit("Paris"))
     html = F.concat(F.lit('window.mosaic.providerData["mosaic-provider-jobcards"]='), model, F.lit(";"))
-    search = fields.groupBy("position").agg(html.alias("html")).select(url.alias("url"), "html")
+    search = fields.groupBy("phrase").agg(html.alias("html")).select(url.alias("url"), "html")
     details = fields.filter(F.col("page_id") % 9 != 0).select(
         addresses.board_b_detail_url(F.concat(F.lit("k"), "page_id")).alias("url"), _detail_html(F.col("article")).alias("html")
     )
     return search.unionByName(details)
 
 
+def _run_b(t):
+    phrases = _phrased(t).select(F.lit(0).alias("position_no"), F.col("phrase").alias("position")).distinct()
+    return run_board_b(_store_b(t), _SEARCH_B, AS_OF, StopWordDetector(), phrases=phrases)
+
+
 @query(
     f"""SELECT position, job_id, title, company, {SQL_MILLIS.format('posted')} AS posted_time, title_lang,
     {sql_stop_word_lang()} AS description_lang, 'Not specified' AS required_studies_if_en, 'Yes' AS easy_apply
     FROM (SELECT * EXCLUDE (s_de, s_en, s_es, s_fr), {sql_stop_word_scores('description')} FROM (
         SELECT *, {sql_stop_word_lang()} AS title_lang FROM (
             SELECT *, {sql_stop_word_scores('title')} FROM (
-                SELECT position, 'k' || page_id AS job_id, {sql_text('h1')} AS title, host AS company,
+                SELECT position || ' ' || page AS position, 'k' || page_id AS job_id, {sql_text('h1')} AS title, host AS company,
                 TIMESTAMP '1970-01-01' + to_hours(page_id) AS posted, {sql_text('article')} AS description
                 FROM ({_SQL_FIELDS}) WHERE page_id % 9 <> 0))))""",
 )
 def board_b_run(t):
-    postings = run_board_b(_store_b(t), _SEARCH_B, AS_OF, StopWordDetector()).postings
+    postings = _run_b(t).postings
     studies = F.when(F.col("description_lang") == "en", F.col("required_studies")).otherwise(F.lit(fixed.STUDIES_NOT_SPECIFIED))
     return postings.select(
         "position", "job_id", "title", "company", millis(F.col("posted_time")).alias("posted_time"), "title_lang",
@@ -329,7 +337,7 @@ def board_b_run(t):
     WHERE page_id % 9 = 0"""
 )
 def board_b_quarantine(t):
-    return run_board_b(_store_b(t), _SEARCH_B, AS_OF, StopWordDetector()).quarantined
+    return _run_b(t).quarantined
 
 
 _SQL_PAGE_POSTINGS = f"""
