@@ -75,12 +75,15 @@ class _BoardA:
         self.details = None
         self.quarantined = None
 
-    def gather(self, first_page: int, last_page: int, position_no: int | None = None):
-        """(page status, candidate cards) of a range of pages, both checkpointed."""
+    def gather(self, first_page: int, last_page: int, from_position: int = 0):
+        """(page status, candidate cards) of a range of pages, both written.
+
+        Candidates are partitioned by position, so each step of the walk reads its own.
+        """
         frontier = search_frontier_a(self.spark, self.search, first_page, last_page)
-        if position_no is not None:
-            frontier = frontier.filter(F.col("position_no") == position_no)
-        searched = runtime.cut_lineage(extract_for(frontier, self.pages, "url", page_cards))
+        frontier = frontier.filter(F.col("position_no") >= from_position)
+        listings = self.pages.filter(F.startswith("url", F.lit(fixed.BOARD_A_SEARCH_URL)))
+        searched = runtime.cut_lineage(extract_for(frontier, listings, "url", page_cards))
         found = searched.select("position_no", "page", F.lit(False).alias("failed"))
         status = runtime.cut_lineage(
             frontier.drop("url").join(found, ["position_no", "page"], "left")
@@ -105,7 +108,7 @@ class _BoardA:
         )
         order = F.shiftleft(F.col("page").cast("long"), 31) + F.col("card")
         candidates = candidates.withColumns({**identity_keys(), "_order": order})
-        return status, runtime.cut_lineage(candidates)
+        return status, runtime.written_table(candidates, "position_no")
 
     def read_details(self, wanted: DataFrame) -> DataFrame:
         """Detail fields in the desired language, one row per id; html stays where it is."""
@@ -128,20 +131,21 @@ class _BoardA:
         """Positions in order: kept cards and the progress table."""
         search = self.search
         status, candidates = self.gather(0, first_pages - 1)
+        last = first_pages
         kept, used, total = [], [], 0
         for position_no in range(len(search.phrases)):
             if total >= search.max_jobs:
                 break
-            own_status = status.filter(F.col("position_no") == position_no)
-            own_cards = candidates.filter(F.col("position_no") == position_no)
-            last = first_pages
+            own = F.col("position_no") == position_no
             while True:
-                new, taken = self.position(own_status, own_cards, kept, search.max_jobs - total, last)
+                room = search.max_jobs - total
+                new, taken = self.position(status.filter(own), candidates.filter(own), kept, room, last)
                 if taken.count() < last:
                     break
-                more_status, more_cards = self.gather(last, 2 * last - 1, position_no)
-                own_status = own_status.unionByName(more_status)
-                own_cards = own_cards.unionByName(more_cards)
+                # No rule has stopped this position yet: go further, for later ones as well.
+                more_status, more_candidates = self.gather(last, 2 * last - 1, position_no)
+                status = status.unionByName(more_status)
+                candidates = candidates.unionByName(more_candidates)
                 last *= 2
             total += new.count()
             kept.append(new)
@@ -151,10 +155,10 @@ class _BoardA:
 
     def position(self, status: DataFrame, cards: DataFrame, kept: list[DataFrame], room: int, pages: int):
         """(new cards, pages used) of a position with this many gathered pages."""
-        for earlier in kept:
-            cards = anti_join_prior(cards, earlier)
         if kept:
-            cards = runtime.cut_lineage(cards)
+            cards = runtime.cut_lineage(
+                anti_join_prior(cards, _union(kept, cards), cards.count(), self.hot_min_rows)
+            )
         fresh = greedy_dedup(cards, ["_order"], ID_KEY, PAIR_KEY, self.hot_min_rows)
         fresh = runtime.cut_lineage(fresh)
         per_page = fresh.groupBy("page").agg(F.count(F.lit(1)).alias("n"))

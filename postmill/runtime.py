@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Keys holding more than 1/HOT_SHARE of all rows are hot, so there are fewer than
 # HOT_SHARE of them whatever the size of the data.
@@ -35,14 +37,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_table(df: DataFrame, partition_by: str) -> DataFrame:
+    """The rows as a table in the checkpoint folder, so that readers of one value of
+    `partition_by` open only its files."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def replace_path(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a finished folder in the place of another; the old one goes last."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, old = hadoop.Path(path), hadoop.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(target)
+    if had:
+        fs.rename(target, old)
+    fs.rename(hadoop.Path(fresh), target)
+    if had:
+        fs.delete(old, True)
+
+
 def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a materialised narrow table against the broadcast limit.
 
-    The width counted per row is its text plus a fixed overhead for the hash table.
+    The width counted per row is its text form plus a fixed overhead for the hash table.
     """
     width = F.lit(64)
-    for name, kind in df.dtypes:
-        width = width + (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(16))
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)):
+            width = width + F.lit(16)
+        else:
+            width = width + F.coalesce(F.octet_length(F.col(field.name).cast("string")), F.lit(0))
     size = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()["b"]
     return size <= limit_bytes
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,16 +87,13 @@ def split_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def snapshot_write(postings: DataFrame, path: str, layout: str = "lines") -> None:
     """Replace the snapshot with all postings.
 
-    The rows are written to the checkpoint folder first, since they usually derive from
-    the snapshot being replaced.
+    The rows usually derive from the snapshot being replaced, so they are written beside
+    it and take its place when complete.
     """
-    rows = runtime.cut_lineage(conform(postings))
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    writer = conform(postings).write
     if layout == "parquet":
-        rows.write.mode("overwrite").parquet(path)
+        writer.parquet(fresh)
     else:
-        (
-            rows.write.mode("overwrite")
-            .option("timestampFormat", _TIMESTAMP_FORMAT)
-            .option("ignoreNullFields", False)
-            .json(path)
-        )
+        writer.option("timestampFormat", _TIMESTAMP_FORMAT).option("ignoreNullFields", False).json(fresh)
+    runtime.replace_path(postings.sparkSession, fresh, path)

@@ -27,35 +27,15 @@ def accepted_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame
 def keep_new(
     batch: DataFrame, prior: DataFrame | None, order: list[str], limit_bytes: int = runtime.BROADCAST_BYTES
 ) -> DataFrame:
-    """The postings of a checkpointed batch that stay, given what was kept before.
-
-    A batch is usually far smaller than the kept table. While its keys measure small they
-    go to the kept table by broadcast, which is then read but not shuffled.
-    """
-    rows = batch.count()
+    """The postings of a checkpointed batch that stay, given what was kept before."""
     if prior is not None:
         prior = prior.select("title", "company", "job_id")
-        keys = batch.withColumns(identity_keys()).select(
-            ID_KEY, F.col(PAIR_KEY)["t"].alias("_t"), F.col(PAIR_KEY)["c"].alias("_c")
-        )
-        if runtime.fits_broadcast(keys, limit_bytes):
-            prior = _touching(prior, batch)
-        batch = runtime.cut_lineage(anti_join_prior(batch, prior, rows))
+        batch = anti_join_prior(batch, prior, batch.count(), limit_bytes=limit_bytes)
+        batch = runtime.cut_lineage(batch)
     keyed = batch.withColumns(identity_keys())
     return greedy_dedup(keyed, order, ID_KEY, PAIR_KEY).select(batch.columns)
 
 
-def _touching(prior: DataFrame, batch: DataFrame) -> DataFrame:
-    """Kept postings that share a key with the batch."""
-    keyed = prior.withColumns(identity_keys())
-    keys = batch.withColumns(identity_keys())
-    same = [
-        keyed.join(F.broadcast(keys.select(key).distinct()), key, "left_semi").select(prior.columns)
-        for key in (ID_KEY, PAIR_KEY)
-    ]
-    return same[0].unionByName(same[1])
-
-
 def incremental_ingest(
     postings: DataFrame, accepted_path: str, state_path: str, order: list[str]
 ) -> StreamingQuery:

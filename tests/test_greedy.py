@@ -62,8 +62,8 @@ def cards_and_prior(spark):
     return cards, prior
 
 
-@pytest.mark.parametrize("hot_min_rows", [10**6, 1])
-def test_anti_join_prior(spark, cards_and_prior, hot_min_rows):
+@pytest.mark.parametrize("hot_min_rows, limit_bytes", [(10**6, 0), (1, 0), (10**6, 10**9)])
+def test_anti_join_prior(spark, cards_and_prior, hot_min_rows, limit_bytes):
     cards, prior = cards_and_prior
     schema = "n int, title string, company string, job_id string"
     a, b = spark.createDataFrame(cards, schema), spark.createDataFrame(prior, schema)
@@ -72,7 +72,7 @@ def test_anti_join_prior(spark, cards_and_prior, hot_min_rows):
         return x[3] == y[3] or (x[1].strip().lower(), x[2].strip().lower()) == (y[1].strip().lower(), y[2].strip().lower())
 
     expected = [c[0] for c in cards if not any(same(c, p) for p in prior)]
-    got = anti_join_prior(a, b, rows=len(cards), hot_min_rows=hot_min_rows)
+    got = anti_join_prior(a, b, rows=len(cards), hot_min_rows=hot_min_rows, limit_bytes=limit_bytes)
     assert sorted(r.n for r in got.collect()) == expected
     assert 0 < len(expected) < len(cards)
 

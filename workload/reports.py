@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 
 from postmill import fixed_values as fixed
 from postmill.operators import report
+from postmill.runtime import cut_lineage
 from workload.registry import query
 
 SQL_POSTINGS = """(SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderpriority || ' job ' || o_custkey AS title,
@@ -53,7 +54,7 @@ def report_sort(t):
     ordered = report.report_sort(postings(t), ["row_no"]).select("row_no").withColumns({
         "_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id(),
     })
-    ordered = ordered.checkpoint(eager=True) if t.spark.sparkContext.getCheckpointDir() else ordered
+    ordered = cut_lineage(ordered)
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
