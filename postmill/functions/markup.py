@@ -18,6 +18,8 @@ _SPACE = r"[\s\x1c-\x1f]"
 # The inside of a tag: attribute values in quotes may hold '>'.
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 _TAG = rf"<[/!?]?[a-zA-Z]{_ATTRIBUTES}>"
+# What may stand between two elements that count as neighbours.
+GAP = r"(?:\s++|<!--.*?-->)*+"
 _NON_TEXT = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<script\b.*?(?:</script\s*>|\z)"
@@ -33,7 +35,7 @@ _OTHER_ENTITY = rf"&(?!(?:{'|'.join(_COMMON)})(?![a-zA-Z0-9]))(?:[a-zA-Z]|#[0-9x
 
 def strip(text: Column) -> Column:
     """Trim Unicode whitespace at both ends."""
-    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.regexp_replace(text, rf"(?U)\A{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z", "")
 
 
 def collapse(text: Column) -> Column:
@@ -119,13 +121,13 @@ def element_text(inner: Column) -> Column:
 
 def class_contains(part: str) -> str:
     """Pattern of a class attribute holding `part` anywhere."""
-    return rf"""class\s*=\s*(?:"[^"]*{part}[^"]*"|'[^']*{part}[^']*')"""
+    return rf"""class\s*=\s*(?:"[^"]*{part}[^"]*"|'[^']*{part}[^']*'|[^\s"'>]*{part})"""
 
 
 def class_token(name: str) -> str:
     """Pattern of a class attribute holding the whole word `name`."""
     word = rf"(?<![\w-]){name}(?![\w-])"
-    return rf"""class\s*=\s*(?:"[^"]*{word}[^"]*"|'[^']*{word}[^']*')"""
+    return rf"""class\s*=\s*(?:"[^"]*{word}[^"]*"|'[^']*{word}[^']*'|{word})"""
 
 
 def open_tag(attribute: str, name: str = r"[a-zA-Z][a-zA-Z0-9]*") -> str:
@@ -198,6 +200,6 @@ def first_href(markup: Column, class_part: str) -> Column:
 
 def tag_href(tag: Column) -> Column:
     """href of an opening tag, else ''."""
-    value = F.regexp_extract(tag, r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
-    single = F.regexp_extract(tag, r"""(?is)\shref\s*=\s*'([^']*)'""", 1)
-    return F.coalesce(decode_entities(F.when(value != "", value).otherwise(single)), F.lit(""))
+    value = F.regexp_extract(tag, r"""(?is)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    bare = F.regexp_replace(value, r"""\A["']|["']\z""", "")
+    return F.coalesce(decode_entities(bare), F.lit(""))

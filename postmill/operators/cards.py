@@ -9,17 +9,17 @@ from postmill import fixed_values as fixed
 from postmill.functions import addresses, dates, markup
 
 _CARD = (
-    rf"<li\b[^>]*>\s*<div\s(?:[^>]*?\s)?{markup.class_token(fixed.CARD_CLASS)}[^>]*>"
+    rf"<li\b[^>]*>{markup.GAP}<div\s(?:[^>]*?\s)?{markup.class_token(fixed.CARD_CLASS)}[^>]*>"
 )
 
 
 def card_elements(html: Column) -> Column:
     """Inner markup of every `li > div.base-card`, in document order."""
-    pieces = F.split(html, rf"(?=(?i){_CARD})")
-    openings = F.filter(pieces, lambda p: p.rlike(rf"(?i)\A{_CARD}"))
+    pieces = F.split(html, rf"(?=(?is){_CARD})")
+    openings = F.filter(pieces, lambda p: p.rlike(rf"(?is)\A{_CARD}"))
     return F.transform(
         openings,
-        lambda p: markup.balanced(F.regexp_replace(p, rf"(?i)\A{_CARD}", ""), F.lit("div")),
+        lambda p: markup.balanced(F.regexp_replace(p, rf"(?is)\A{_CARD}", ""), F.lit("div")),
     )
 
 
@@ -58,7 +58,7 @@ def card_postings(cards: DataFrame, as_of) -> DataFrame:
 
 def description_block(html: Column) -> Column:
     """Text of the first `[class*=description] > section > div`, whitespace collapsed."""
-    nested = rf"{markup.open_tag(markup.class_contains(fixed.DESCRIPTION_CLASS_PART))}\s*<section\b[^>]*>\s*<div\b[^>]*>"
+    nested = rf"{markup.open_tag(markup.class_contains(fixed.DESCRIPTION_CLASS_PART))}{markup.GAP}<section\b[^>]*>{markup.GAP}<div\b[^>]*>"
     rest = F.regexp_extract(html, rf"(?s){nested}(.*)\z", 2)
     inner = markup.balanced(rest, F.lit("div"))
     return markup.collapse(markup.decode_entities(markup.drop_markup(inner, "")))

@@ -59,11 +59,18 @@ CARD = """
     <time class="job-search-card__listdate--new" datetime="2024-01-01"> 3 hours ago</time>
   </div>
 </li>
-<li><div class="base-card"><h3 class="c_title">No link</h3></div></li>
+<li><!----> <div class="base-card"><h3 class=c_title>No link</h3></div></li>
 <li><div class="base-cards"><h3 class="c_title">Not a card</h3></div></li>
 </ul><div class="footer_subtitle">F</div>"""
 
 
+def test_href_forms_and_spaces(spark):
+    rows = ['<a class="k_full-link" href=\'a"b\'>', "<a class=k_full-link href=c?d>", '<a href="" class="k_full-link">', "<a>"]
+    assert values(spark, rows, markup.first_href(F.col("x"), "_full-link")) == ['a"b', "c?d", "", ""]
+    long = ("a" + " " * 3000) * 30
+    assert values(spark, [long, "\u00a0 x\n"], markup.strip(F.col("x"))) == [long.strip(), "x"]
+
+
 def test_cards(spark):
     df = spark.createDataFrame([("u", CARD), ("v", "<p>nothing</p>")], "page string, html string")
     rows = cards.card_explode(cards.page_cards(df)).orderBy("card").collect()
@@ -83,7 +90,7 @@ def item(label, value):
 
 
 DETAIL = (
-    '<section class="core description"><div class="description__text"><section data-x="5">\n<div class="m">'
+    '<section class="core description"><div class="description__text"><!----><section data-x="5">\n<div class="m">'
     "One<div>two\n three</div><br>four</div><button>more</button></section></div>"
     '<ul class="description__job-criteria-list">'
     + item("Seniority level", "Director")
