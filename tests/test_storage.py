@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from test_board_a import AS_OF, make_store
 
 from postmill import STORED_SCHEMA, BoardASearch, StopWordDetector
+from postmill.fixed_values import SOURCE_A
 from postmill.operators.cards import page_cards
-from postmill.plans.daily import run_and_save, write_report
+from postmill.plans.daily import run_and_save, sorted_report, write_report
 from postmill.sources import page_store
 from postmill.sources.snapshot import snapshot_read, snapshot_write
 
@@ -39,7 +40,7 @@ def check(good, bad):
     assert rows["1"].technologies_required == ["Go", "C"] and rows["1"].source == "Other"
     for key in ("2", "3"):
         r = rows[key]
-        assert (r.title, r.technologies_required, r.salary_offered, r.easy_apply, r.source) == ("", [], 0, "No", "LinkedIn")
+        assert (r.title, r.technologies_required, r.salary_offered, r.easy_apply, r.source) == ("", [], 0, "No", SOURCE_A)
     assert (rows["6"].salary_offered, rows["6"].salary_text, rows["6"].easy_apply) == (0, "10 - 20 YEARLY", "Yes")
     posted = times(good, "posted_time")
     assert posted == {"1": datetime(2024, 3, 5, 1, 2, 3), "2": None, "3": None, "4": datetime(2024, 3, 5, 1, 2, 3), "6": None}
@@ -97,6 +98,8 @@ def test_report_order_and_titles(spark, tmp_path):
     ids = [line.split(",u")[0].rsplit(",", 5)[0] for line in lines]
     assert [next(i for i in "abcd" if f",{i}," in line) for line in lines] == ["c", "b", "a", "d"], ids
     assert '"x, y"' in "".join(lines)
+    marked = sorted_report(df.withColumns({"title_lang": F.lit("FR"), "description_lang": F.lit("EN")}), ["job_id"]).collect()
+    assert [(r.job_id, r.link, r.title_flag, r.description_flag) for r in marked] == [(i, "Link", True, False) for i in "cbad"]
 
 
 def test_daily_run_twice(spark, tmp_path):

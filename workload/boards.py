@@ -176,7 +176,7 @@ def _run_a(t):
 @query(
     f"""{_SQL_RUN_A} SELECT position, page, card, number AS job_id, title, host AS company, title_lang, description_lang,
     'https://' || host || '/view/a-job-' || number || '?ref=x' AS url, industries,
-    CASE WHEN industries = 'net' THEN 'No' ELSE 'Yes' END AS easy_apply, 'LinkedIn' AS source,
+    CASE WHEN industries = 'net' THEN 'No' ELSE 'Yes' END AS easy_apply, '{fixed.SOURCE_A}' AS source,
     {SQL_MILLIS.format(f"(TIMESTAMP '{AS_OF}' - CASE page_id % 5 WHEN 0 THEN to_hours(page_id) WHEN 1 THEN to_days(page_id % 60) WHEN 4 THEN to_days(1) ELSE to_days(0) END)")}
     AS posted_time FROM ({_SQL_NEW})"""
 )
@@ -253,7 +253,7 @@ def embedded_tiers(t):
     CASE WHEN event_id % 4 = 0 THEN event_id || ' - ' || (event_id + 10) || ' YEARLY' END AS salary_text,
     CASE WHEN event_id % 50 <> 49 THEN 'k' || event_id END AS job_id,
     CASE WHEN event_id % 50 <> 49 THEN '{fixed.BOARD_B_BASE_URL}/viewjob?jk=k' || event_id END AS url,
-    CASE WHEN event_id % 2 = 0 THEN 'Yes' ELSE 'No' END AS easy_apply, 'Indeed' AS source,
+    CASE WHEN event_id % 2 = 0 THEN 'Yes' ELSE 'No' END AS easy_apply, '{fixed.SOURCE_B}' AS source,
     CASE WHEN event_id % 50 = 49 THEN 'no jobkey' END AS reason FROM {_SQL_RESULTS} WHERE NOT cut"""
 )
 def posting_from_json(t):

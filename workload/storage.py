@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from postmill.operators.report import report_projection, report_sort
+from postmill.fixed_values import SOURCE_A
 from postmill.plans.daily import write_report
 from postmill.sources.snapshot import snapshot_read as read
 from postmill.sources.snapshot import snapshot_write as write
@@ -37,7 +37,7 @@ def _lines(t):
     f"""SELECT CAST(o_orderkey AS VARCHAR) AS job_id, 'é ' || o_orderpriority AS title, '' AS company,
     {SQL_MILLIS.format("o_orderdate + INTERVAL 10 HOUR + CASE WHEN o_orderkey % 4 = 2 THEN INTERVAL 250 MILLISECOND ELSE INTERVAL 0 HOUR END")}
     AS posted_time, o_orderstatus AS technologies, CAST(o_custkey AS INTEGER) AS years, 0 AS salary,
-    CASE WHEN o_orderkey % 6 = 0 THEN '10 - 20 YEARLY' END AS salary_text, 'No' AS easy_apply, 'LinkedIn' AS source
+    CASE WHEN o_orderkey % 6 = 0 THEN '10 - 20 YEARLY' END AS salary_text, 'No' AS easy_apply, '{SOURCE_A}' AS source
     FROM orders WHERE o_orderkey % 10 NOT IN (3, 7)"""
 )
 def snapshot_read(t):
