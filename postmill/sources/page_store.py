@@ -19,9 +19,20 @@ def has_content(html: str = "html"):
     return F.coalesce(F.col(html), F.lit("")) != ""
 
 
-def frontier_fetch(frontier: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """Every frontier row with its page; html is null where there is no content."""
-    return frontier.join(pages.filter(has_content()).select(url, "html"), url, "left")
+def frontier_fetch(
+    frontier: DataFrame, pages: DataFrame, url: str = "url", limit_bytes: int = runtime.BROADCAST_BYTES
+) -> DataFrame:
+    """Every frontier row with its page; html is null where there is no content.
+
+    A measured small frontier is sent to the pages, which then are not shuffled.
+    """
+    stored = pages.filter(has_content()).select(url, "html")
+    if not runtime.fits_broadcast(frontier, limit_bytes):
+        return frontier.join(stored, url, "left")
+    columns = [*frontier.columns, "html"]
+    found = stored.join(F.broadcast(frontier), url).select(columns)
+    missing = missing_pages(frontier, pages, url).withColumn("html", F.lit(None).cast("string"))
+    return found.unionByName(missing)
 
 
 def missing_pages(frontier: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:

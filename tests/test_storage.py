@@ -121,8 +121,10 @@ def test_page_store(spark):
     frontier = pages.select("url").distinct().unionByName(spark.createDataFrame([("gone",), ("empty",)], "url string"))
     pages = pages.unionByName(spark.createDataFrame([("empty", "")], "url string, html string"))
     assert sorted(r.url for r in page_store.missing_pages(frontier, pages).collect()) == ["empty", "gone"]
-    fetched = page_store.frontier_fetch(frontier, pages)
-    assert sorted(r.url for r in fetched.filter("html is null").collect()) == ["empty", "gone"]
+    for limit in (10**9, 0):
+        fetched = page_store.frontier_fetch(frontier, pages, limit_bytes=limit)
+        assert sorted(r.url for r in fetched.filter("html is null").collect()) == ["empty", "gone"]
+        assert fetched.select("url").distinct().count() == frontier.count()
     both = [
         sorted((r.url, len(r.cards)) for r in page_store.extract_for(frontier, pages, "url", page_cards, limit).collect())
         for limit in (10**9, 0)
