@@ -49,7 +49,9 @@ def greedy_dedup(
                 rest = runtime.cut_lineage(rest)
             rest = runtime.split_by_membership(rest, winners.select(key), key, hot)
         edges = runtime.cut_lineage(rest)
-        left = edges.count()
+        before, left = left, edges.count()
+        if left == before:
+            raise ValueError("the order must be unique and never null")
     if kept is None:
         return rows.limit(0)
     marked = rows.withColumn(_ORDER, place)

@@ -49,6 +49,12 @@ def test_composite_order_and_empty_input(spark):
     assert greedy_dedup(df.filter("page > 5"), ["page", "card"], "i", "p").count() == 0
 
 
+def test_null_order_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a", "p"), (None, "b", "q")], "o long, i string, p string")
+    with pytest.raises(ValueError):
+        greedy_dedup(df, ["o"], "i", "p")
+
+
 @pytest.fixture
 def cards_and_prior(spark):
     rng = random.Random(7)
