@@ -7,15 +7,18 @@ similarity 0.8 shares none of the 32 bands with probability (1 - 0.8^4)^32, abou
 1. Texts with equal shingle sets are one class, found by a digest in an aggregate that is
    combined before its shuffle. Only the class's least id goes on, so thousands of exact
    copies cost one row.
-2. Every bucket of a band elects a hub, the member that shares most buckets, and is compared
-   with it alone: candidates grow with the members, not with their square. Pairs are screened
-   by set sizes (exact) and by equal signature values (a true pair fails that with
-   probability below 1e-9), and the rest are confirmed on the full sets.
-3. Buckets whose members already are one component are settled. In the others members of
-   different components are compared: in buckets of at most `SMALL_BUCKET` members at once,
-   in larger ones a hub a round, taken from the bucket's smallest component, and what is
-   still open after `HUB_ROUNDS` pair by pair. No cap cuts this off, so no link between
-   candidates that could join two components is left out.
+2. Every bucket of a band elects a hub, the member that shares most buckets, and its members
+   are compared with the hub alone: candidates grow with the members, not with their square.
+   Pairs whose signatures rule a link out (probability below 1e-9 for a true pair) stop here;
+   for the others the full sets give the common size and the shingles that the hub lacks.
+3. A member x that its hub does not link can still be linked with another member y. Their
+   common size is at most the lesser common size with the hub plus the shingles both have
+   and the hub lacks. So x meets only those y that share such a shingle, or that pass the
+   bound without one; the pairs left are confirmed on their full sets.
+4. Members whose signature rules their hub out meet the other members of the bucket, behind
+   the same screens. Members that already are one component never meet again.
+
+No cap cuts any of this off.
 
 Nulls and texts without words have no shingles and are linked with nothing. Rows that share
 an id are one document, kept or dropped together; rows with a null id stay single and kept.
@@ -43,8 +46,6 @@ PERMUTATIONS, BAND_ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 # Of 128 signature values a pair at 0.8 has about 102 equal; the deviation is about 4.5.
 SCREEN_EQUAL = 72
-HUB_ROUNDS = 3
-SMALL_BUCKET = 32
 
 
 @functools.lru_cache(maxsize=1)
@@ -109,14 +110,21 @@ def _equal(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array((a == b).sum(1).astype(np.int32))
 
 
-@F.arrow_udf(T.LongType())
-def _common(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Size of the intersection of two packed sets."""
-    out = [
-        len(np.intersect1d(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), True))
-        for a, b in zip(left, right, strict=True)
-    ]
-    return pa.array(out, pa.int64())
+@F.arrow_udf(T.StructType([T.StructField("common", T.LongType()), T.StructField("novel", T.BinaryType())]))
+def _against(hubs: pa.Array, others: pa.Array) -> pa.Array:
+    """Size of the intersection of two packed sets, and what the second adds to the first."""
+    common, novel = [], []
+    for hub, other in zip(hubs, others, strict=True):
+        one, two = np.frombuffer(hub.as_py(), np.uint64), np.frombuffer(other.as_py(), np.uint64)
+        added = two[np.isin(two, one, assume_unique=True, invert=True)]
+        common.append(len(two) - len(added))
+        novel.append(added.tobytes())
+    return pa.StructArray.from_arrays([pa.array(common, pa.int64()), pa.array(novel, pa.binary())], ["common", "novel"])
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _unpacked(packed: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(x.as_py(), np.int64) for x in packed], pa.list_(pa.int64()))
 
 
 def _set_of(width: int):
@@ -127,22 +135,21 @@ def _set_of(width: int):
     return packed
 
 
-def _similar(common, n, m, percent: int):
-    return 100 * common >= percent * (n + m - common)
+def _reaches(common, n, m, percent: int):
+    """Whether sets of n and m members with so many in common have the similarity."""
+    return (100 + percent) * common >= percent * (n + m)
 
 
-def _screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of class ids that sizes and signatures do not rule out."""
-    a = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("payload").alias("p_a"))
-    b = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("payload").alias("p_b"))
-    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    joined = pairs.join(a, "a").join(b, "b").filter(sized)
-    return joined.filter(_equal("p_a", "p_b") >= SCREEN_EQUAL).select("a", "b")
+def _screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of class ids that signatures do not rule out."""
+    a = classes.select(F.col("rep").alias("a"), F.col("payload").alias("p_a"))
+    b = classes.select(F.col("rep").alias("b"), F.col("payload").alias("p_b"))
+    return pairs.join(a, "a").join(b, "b").filter(_equal("p_a", "p_b") >= SCREEN_EQUAL).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Only texts that occur in a pair leave
-    the scan: their ids go to it by broadcast if they measure small, else by a join."""
+def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) with set sizes, common size and what b adds. Only texts that occur in a
+    pair leave the scan: their ids go to it by broadcast if they measure small, else by a join."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     side = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     # Rows with the same id hold the same text unless ids clash; the least text stands for it.
@@ -150,13 +157,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     sets = own.select("id", _set_of(width)(F.col("text").cast("binary")).alias("packed"))
     a = sets.select(F.col("id").alias("a"), F.col("packed").alias("s_a"))
     b = sets.select(F.col("id").alias("b"), F.col("packed").alias("s_b"))
-    counted = pairs.join(a, "a").join(b, "b").withColumn("common", _common("s_a", "s_b"))
     n_a, n_b = (F.floor(F.octet_length(x) / 8) for x in ("s_a", "s_b"))
-    return written(counted.filter(_similar(F.col("common"), n_a, n_b, percent)).select("a", "b"))
+    counted = pairs.join(a, "a").join(b, "b").withColumn("_c", _against("s_a", "s_b"))
+    return written(counted.select("a", "b", n_a.alias("n_a"), n_b.alias("n_b"), "_c.common", "_c.novel"))
+
+
+def _links(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.filter(_reaches(F.col("common"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def _ordered(x: str, y: str):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+def _labelled(rows: DataFrame, labels: DataFrame, node: str, output: str) -> DataFrame:
+    """The rows with the component of `node`, which is the node itself where it has no link."""
+    named = labels.select(F.col("node").alias(node), F.col("component").alias(output))
+    return rows.join(named, node, "left").withColumn(output, F.coalesce(output, node))
 
 
 def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -166,75 +179,67 @@ def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     rows = written(sketched)
     classes = written(
         rows.filter("digest IS NOT NULL AND id IS NOT NULL")
-        .groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("payload").alias("payload"))
+        .groupBy("digest").agg(F.min("id").alias("rep"), F.max("payload").alias("payload"))
     )
-    exploded = classes.select(F.explode(_bands("payload")).alias("key"), "rep")
+    exploded = classes.select(F.explode(_bands("payload")).alias("key"), "rep").distinct()
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     hits = written(exploded.join(shared, "key"))
-    # A class whose digest differs but whose least id is the same document is linked already.
     degrees = hits.groupBy("rep").agg(F.sum("members").alias("degree"))
-    hits = written(hits.select("key", "rep").distinct().join(degrees, "rep"))
-    labels = hits.select("rep", F.col("rep").alias("component")).distinct()
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    for turn in range(HUB_ROUNDS + 1):
-        members = hits.join(labels, "rep")
-        if turn:
-            mixed = (
-                members.groupBy("key")
-                .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
-                .filter("low <> high").select("key", (F.col("m") <= SMALL_BUCKET).alias("small"))
-            )
-            members = written(members.join(mixed, "key"))
-            if members.isEmpty():
-                break
-        if turn == 0:
-            candidates = _hub_pairs(members, by_degree=True)
-        elif turn < HUB_ROUNDS:
-            small, large = members.filter("small").drop("small"), members.filter("NOT small").drop("small")
-            candidates = _open_pairs(small).union(_hub_pairs(large, by_degree=False))
-            hits = large.select("key", "rep", "degree")  # every pair of the small ones is tested now
-        else:
-            candidates = _open_pairs(members)
-        pairs = candidates.select(*_ordered("x", "y")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        plausible = written(_screened(pairs, classes, percent))
-        if plausible.isEmpty():
-            continue
-        found = _confirmed(plausible, texts, width, percent)
-        links = found if links is None else links.union(found)
-        linked = components(links)
-        labels = written(
-            labels.select("rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("rep", F.coalesce("component", "rep").alias("component"))
-        )
-    named = classes.select("digest", "rep").join(labels, "rep", "left")
-    return rows, named.select("digest", F.coalesce("component", "rep").alias("component"))
-
-
-def _hub_pairs(members: DataFrame, by_degree: bool) -> DataFrame:
-    """Each bucket's hub against its members of other components. The first hubs are the
-    members that share most buckets, later ones stand in the bucket's smallest component."""
-    if by_degree:
-        ranked = members.withColumn("rank", -F.col("degree"))
-    else:
-        inside = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rank"))
-        ranked = members.join(inside, ["key", "component"])
-    hubs = ranked.groupBy("key").agg(F.min(F.struct("rank", "rep", "component")).alias("hub"))
-    joined = members.join(hubs, "key")
-    return joined.filter(F.col("component") != F.col("hub.component")).select(
-        F.col("hub.rep").alias("x"), F.col("rep").alias("y")
+    ranked = hits.join(degrees, "rep").select("key", F.struct(-F.col("degree"), "rep").alias("rank"))
+    hubs = ranked.groupBy("key").agg(F.min("rank").alias("rank")).select("key", F.col("rank.rep").alias("a"))
+    buckets = written(hits.join(hubs, "key").filter("rep <> a").select("key", "a", F.col("rep").alias("b")))
+
+    pairs = written(buckets.select("a", "b").distinct())
+    plausible = written(_screened(pairs, classes))
+    compared = _compared(plausible, texts, width)
+    links = _links(compared, percent)
+    labels = written(components(links))
+
+    unlike = written(_labelled(buckets.join(plausible, ["a", "b"], "left_anti"), labels, "b", "of_b"))
+    left = written(
+        _beside_hubs(compared, labels, percent)
+        .union(_unlike_hubs(unlike, buckets, labels))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+    more = _links(_compared(written(_screened(left, classes)), texts, width), percent)
+    labels = written(components(links.union(more)))
+    named = _labelled(classes.select("digest", "rep"), labels, "rep", "component")
+    return rows, named.select("digest", "component")
+
+
+def _beside_hubs(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components, both compared with one hub, that could be linked."""
+    both = _labelled(_labelled(compared, labels, "a", "of_a"), labels, "b", "of_b")
+    open_hubs = both.filter("of_a <> of_b").select("a").distinct()
+    near = written(
+        both.join(open_hubs, "a", "left_semi")
+        .select("a", "b", "of_b", F.col("n_b").alias("n"), F.col("common").alias("c"), "novel", (F.col("of_a") != F.col("of_b")).alias("open"))
     )
+    columns = ["b", "of_b", "n", "c"]
+    x = near.filter("open").select("a", "novel", *(F.col(c).alias(f"x_{c}") for c in columns))
+    y = near.select("a", "novel", *(F.col(c).alias(f"y_{c}") for c in columns))
+    apart = F.col("x_of_b") != F.col("y_of_b")
+    bound = lambda shared: _reaches(F.least("x_c", "y_c") + shared, F.col("x_n"), F.col("y_n"), percent)
+    single = lambda d: d.withColumn("shingle", F.explode(_unpacked("novel"))).drop("novel")
+    sharing = (
+        single(x).join(single(y), ["a", "shingle"]).filter(apart)
+        .groupBy("a", "x_b", "y_b")
+        .agg(F.count(F.lit(1)).alias("shared"), *(F.max(c).alias(c) for c in ("x_n", "y_n", "x_c", "y_c")))
+        .filter(bound(F.col("shared")))
+    )
+    without = x.drop("novel").join(y.drop("novel"), "a").filter(apart & bound(F.lit(0)))
+    ends = [F.col("x_b").alias("a"), F.col("y_b").alias("b")]
+    return sharing.select(ends).union(without.select(ends))
 
 
-def _open_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components that still share a bucket."""
-    x = members.select("key", F.col("rep").alias("x"), F.col("component").alias("of_x"))
-    y = members.select("key", F.col("rep").alias("y"), F.col("component").alias("of_y"))
-    return x.join(y, "key").filter("x < y AND of_x <> of_y").select("x", "y")
+def _unlike_hubs(unlike: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members unlike their hub against the other members of the bucket."""
+    others = _labelled(buckets.join(unlike.select("key").distinct(), "key", "left_semi"), labels, "b", "of_y")
+    joined = unlike.select("key", F.col("b").alias("x"), F.col("of_b").alias("of_x")).join(
+        others.select("key", F.col("b").alias("y"), "of_y"), "key"
+    )
+    return joined.filter("x <> y AND of_x <> of_y").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_duplicates(
