@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, near_dedup, toxicity
+from postmill.llm import bpe, near_dedup, sharding, toxicity, url_filter, warc, winnowing
 from postmill.llm.common import remainder, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,124 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+@query
+def op5_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+    )
+    placed = sharding.assign(rows, sharding.EIGHT)
+    placed = sharding.assign(placed, sharding.grown(sharding.EIGHT, 8), shard="grown_shard")
+    return sharding.number(placed).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
+    )
+
+
+_SQL_HOST = r"translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL_PATH = r"regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+# The given pages hold no canonical links and no refreshes, so their edges lead to normal
+# forms alone; a test on a small fixture covers the others.
+ORACLES["op5_redirect_filter"] = rf"""
+WITH p AS (
+  SELECT page_id, url, coalesce({_SQL_HOST}, '') AS host, coalesce({_SQL_PATH}, '') AS path,
+    regexp_replace({_SQL_HOST}, '^(www|m)\.', '') || regexp_replace({_SQL_PATH}, '(\.html?|/+)$', '') || '?' ||
+    regexp_replace(regexp_replace(regexp_extract(url, '(?s)://[^?#]*\?([^#]*)', 1),
+      '(^|&)({url_filter.TRACKING})(=[^&]*)?(&|$)', '\4', 'g'), '^&+', '') AS form
+  FROM pages
+), rules(kind, h, p) AS (
+  VALUES {', '.join(str(r) for r in url_filter.RULES)}
+), ruled AS (
+  SELECT page_id, first(h || rules.p ORDER BY length(h || rules.p) DESC) AS rule,
+    first(kind ORDER BY length(h || rules.p) DESC) AS kind
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p)
+  GROUP BY page_id
+), classes AS (
+  SELECT form, bool_or(kind = 'allow') AS allowed, bool_or(kind = 'block') AS blocked
+  FROM p JOIN ruled USING (page_id) GROUP BY form
+)
+SELECT page_id, host, path, rule,
+  coalesce(kind, CASE WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN ruled USING (page_id) LEFT JOIN classes USING (form)
+"""
+
+
+
+def _captures(pages: DataFrame) -> DataFrame:
+    """A crawl that the pages stand for: one full response each, and one not-modified revisit
+    whose validators and time follow from a hash of the url."""
+    kind = F.conv(F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 1), 16, 10).cast("int")
+    digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
+    tag = F.concat(F.lit('"'), F.substring(digest, 1, 16), F.lit('"'))
+    at = F.col("page_id") * 60
+    modified = F.concat(F.lit("day "), F.floor(at / 86400).cast("string"))
+    base = pages.select("page_id", "url", kind.alias("kind"), digest.alias("digest"), tag.alias("tag"), at.alias("at"), modified.alias("modified"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string").alias("length"))
+    headers = lambda *pairs: F.create_map(*(F.lit(x) if isinstance(x, str) else x for pair in pairs for x in pair))
+    responses = base.select(
+        (F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("record_type"), "url", F.col("at").alias("captured"),
+        F.col("tag").alias("etag"), F.col("modified").alias("last_modified"), "digest",
+        headers(("content-type", "text/html"), ("content-length", F.col("length")), ("cache-control", "max-age=60"), ("etag", F.col("tag"))).alias("headers"),
+    )
+    etag = (
+        F.when(F.col("kind") < 6, F.col("tag")).when(F.col("kind") < 9, F.concat(F.lit("W/"), F.col("tag")))
+        .when(F.col("kind") < 11, F.lit('"other"'))
+    )
+    revisits = base.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("record_type"), "url",
+        (F.col("at") + F.when(F.col("kind") == 15, -30).otherwise(3600)).alias("captured"),
+        etag.alias("etag"), F.when(F.col("kind") < 14, F.col("modified")).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        headers(("content-type", "text/plain"), ("content-length", "0"), ("cache-control", "max-age=120"), ("x-cache", F.col("kind").cast("string"))).alias("headers"),
+    )
+    return responses.union(revisits)
+
+
+@query
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = warc.resolve(_captures(table(spark, sf_dir, "pages")))
+    entries = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return resolved.select(
+        "record_id", "canonical", "base_id", "status", "digest", F.array_join(entries, "\n").alias("headers")
+    )
+
+
+_SQL_FORM = rf"""regexp_replace({_SQL_HOST}, '^(www|m)\.', '') || regexp_replace({_SQL_PATH}, '(\.html?|/+)$', '') || '?' ||
+    regexp_replace(regexp_replace(regexp_extract(url, '(?s)://[^?#]*\?([^#]*)', 1),
+      '(^|&)({url_filter.TRACKING})(=[^&]*)?(&|$)', '\4', 'g'), '^&+', '')"""
+ORACLES["op6_revisits"] = rf"""
+WITH p AS (
+  SELECT page_id, {_SQL_FORM} AS canonical, page_id * 60 AS seen, sha256(coalesce(html, '')) AS digest,
+    CAST('0x' || substr(md5(coalesce(url, '')), 1, 1) AS INT) AS kind, 'day ' || (page_id * 60 // 86400) AS modified,
+    CAST(strlen(coalesce(html, '')) AS VARCHAR) AS length
+  FROM pages
+), v AS (
+  SELECT page_id * 2 + 1 AS record_id, canonical, kind, seen + CASE WHEN kind = 15 THEN -30 ELSE 3600 END AS seen,
+    CASE WHEN kind < 9 THEN substr(digest, 1, 16) WHEN kind < 11 THEN 'other' END AS tag,
+    CASE WHEN kind < 14 THEN modified END AS modified
+  FROM p
+), m AS (
+  SELECT v.*, b.page_id * 2 AS base_id, b.digest, b.length,
+    CASE WHEN b.page_id IS NULL THEN 'no earlier response'
+      WHEN v.tag IS NOT NULL THEN CASE WHEN v.tag = substr(b.digest, 1, 16) THEN 'resolved' ELSE 'validator mismatch' END
+      WHEN v.modified IS NOT NULL THEN CASE WHEN v.modified = b.modified THEN 'resolved' ELSE 'validator mismatch' END
+      ELSE 'no validator' END AS status
+  FROM v ASOF LEFT JOIN p b ON v.canonical = b.canonical AND v.seen > b.seen
+)
+SELECT record_id, canonical, base_id, status, CASE WHEN status = 'resolved' THEN digest END AS digest,
+  CASE WHEN status = 'resolved' THEN 'cache-control: max-age=120' || chr(10) || 'content-length: ' || length || chr(10) ||
+    'content-type: text/html' || chr(10) || 'etag: "' || substr(digest, 1, 16) || '"' || chr(10) || 'x-cache: ' || kind END AS headers
+FROM m
+"""
+
+
+@query
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_edited(table(spark, sf_dir, "documents"))
