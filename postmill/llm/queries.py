@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, near_dedup, sharding, toxicity, url_filter, warc, winnowing
+from postmill.llm import bpe, language_model, near_dedup, sharding, toxicity, url_filter, warc, winnowing
 from postmill.llm.common import remainder, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,11 @@ FROM m
 @query
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score(table(spark, sf_dir, "documents"), remainder(5) != 1)
+    return scored.select(
+        "doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
