@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, language_model, near_dedup, sharding, toxicity, url_filter, warc, winnowing
+from postmill.llm import (
+    bpe,
+    decontamination,
+    language_model,
+    near_dedup,
+    personal_data,
+    sharding,
+    toxicity,
+    url_filter,
+    warc,
+    winnowing,
+)
 from postmill.llm.common import remainder, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +187,25 @@ def op3_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
+    found = personal_data.detect(docs, personal_data.fit(docs))
+    kinds = F.array(*map(F.lit, personal_data.KINDS))
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"], s["end"])), ","
+    )
+    count = lambda kind: F.size(F.filter("found.base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(i).alias(f"n_{kind}") for i, kind in enumerate(personal_data.KINDS)),
+        F.sha2(listed(F.col("found.base")), 256).alias("base_sha256"),
+        listed(F.col("found.spans")).alias("spans"),
+    )
