@@ -36,6 +36,8 @@ THRESHOLD = 0.5
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.5, 0.5
 BLOCK_ITEMS = 20_000
 POSTINGS_BLOCK = 32
+# Share of the threshold that the terms outside the essential ones may make up at most.
+GATE_REST = 0.6
 STRIDE = 64
 RUN = 5
 _END = 1 << 62
@@ -83,7 +85,7 @@ class ItemIndex:
                 postings = self.postings.setdefault(word, Postings([], []))
                 postings.items.append(item)
                 postings.weights.append(weight)
-                if rest >= threshold - 1e-9:
+                if rest >= threshold * GATE_REST:
                     self.essential.setdefault(word, []).append((item, weight))
                     rest -= weight
             self.rest.append(rest)
