@@ -68,7 +68,8 @@ def last_response(records: DataFrame, span: int = SPAN_SECONDS) -> DataFrame:
     )
     inside = Window.partitionBy("canonical", "_span").orderBy("captured", "record_id")
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
-    response_id = F.when(F.col("record_type") == "response", F.col("record_id"))
+    usable = F.col("canonical").isNotNull() & F.col("captured").isNotNull()
+    response_id = F.when(usable & (F.col("record_type") == "response"), F.col("record_id"))
     near = rows.withColumn("_near", F.last(response_id, ignorenulls=True).over(inside))
     revisits = near.filter("record_type = 'revisit'")
     joined = revisits.join(carried, ["canonical", "_span"], "left")
