@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill import runtime
+from postmill.operators.filters import quarantine_split
+
 FIELDS_A = ["required_studies", "technologies_required", "experience_years_needed", "salary_offered"]
 FIELDS_B = ["experience_years_needed", "required_studies"]
 
@@ -31,23 +34,35 @@ def enrich(
     gate: Column,
     fields: list[str],
     description: str = "description",
+    answered: str | None = None,
 ) -> DataFrame:
     """Analyse the rows behind the gate and merge; adds `token_cost`.
 
-    `analyser` maps a description column to the analysis struct. Built-in expressions are
-    guarded in place. Python UDFs run for every row of their input whatever guards them,
-    so those rows are split off first; pass a checkpointed table in that case.
+    `analyser` maps a description column to the analysis struct. Python UDFs run for every
+    row of their input whatever guards them, and a function may hide one, so the rows
+    behind the gate are split off first; pass a checkpointed table. `answered` names a
+    column that is false where an analysis was asked for and none came back.
     """
     cost = F.coalesce(F.col("_analysis.token_cost"), F.lit(0)).alias("token_cost")
-    columns = [c for c in df.columns if c != "token_cost"]
-
-    def merged(rows: DataFrame, analysis: Column) -> DataFrame:
-        analysed = rows.withColumn("_analysis", analysis)
-        return enrich_merge(analysed, F.col("_analysis"), fields).select(*columns, cost)
+    columns = [c for c in df.columns if c not in ("token_cost", answered)]
+    usable = [] if answered is None else [F.col("_analysis").isNotNull().alias(answered)]
+    unasked = [] if answered is None else [F.lit(True).alias(answered)]
 
-    if not hasattr(analyser, "evalType"):
-        return merged(df, F.when(gate, analyser(F.col(description))))
     gated = df.withColumn("_gate", F.coalesce(gate, F.lit(False)))
-    behind = merged(gated.filter("_gate"), analyser(F.col(description)))
-    others = gated.filter("not _gate").select(*columns, F.lit(0).alias("token_cost"))
+    analysed = gated.filter("_gate").withColumn("_analysis", analyser(F.col(description)))
+    behind = enrich_merge(analysed, F.col("_analysis"), fields).select(*columns, cost, *usable)
+    others = gated.filter("not _gate").select(*columns, F.lit(0).alias("token_cost"), *unasked)
     return behind.unionByName(others)
+
+
+def analysed_rows(
+    df: DataFrame, analyser: Callable[[Column], Column], gate: Column, fields: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """(postings, quarantined) after one call per row behind the gate.
+
+    A posting without a usable answer is not kept. The rows are written once, so later
+    uses do not call the analyser again.
+    """
+    asked = enrich(runtime.cut_lineage(df), analyser, gate, fields, answered="_answered")
+    good, failing = quarantine_split(runtime.cut_lineage(asked), {"no usable analysis": F.col("_answered")})
+    return good.drop("_answered"), failing.drop("_answered")

@@ -37,7 +37,10 @@ def greedy_dedup(
     # Of rows with both keys equal only the first can stay: either it stays and blocks the
     # rest, or what blocks it blocks them too. Copies collapse before the shuffle.
     edges = runtime.cut_lineage(edges.groupBy(_ID, _PAIR).agg(F.min(_ORDER).alias(_ORDER)))
-    left = edges.count()
+    counts = edges.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(_ORDER).alias("places")).first()
+    if counts["n"] != counts["places"]:
+        raise ValueError("the order must be unique and never null")
+    left = counts["n"]
     kept = None
     while left:
         winners = runtime.cut_lineage(_first_on_both_keys(edges))

@@ -17,13 +17,13 @@ from postmill import runtime
 from postmill.config import BoardASearch
 from postmill.operators import metrics
 from postmill.operators.cards import card_explode, card_postings, detail_fields, page_cards
-from postmill.operators.enrich import FIELDS_A, enrich, enrich_gate
+from postmill.operators.enrich import FIELDS_A, analysed_rows, enrich_gate
 from postmill.operators.filters import quarantine_split, valid_link_filter
 from postmill.operators.greedy import greedy_dedup
 from postmill.operators.joins import ID_KEY, PAIR_KEY, anti_join_prior, identity_keys
 from postmill.operators.language import language_filter
 from postmill.operators.quota import BLOCK, pages_used, short_position_used
-from postmill.plans.run import Run
+from postmill.plans.run import Run, quarantine_union
 from postmill.schema import conform
 from postmill.sources.frontier import search_frontier_a
 from postmill.sources.page_store import extract_for
@@ -55,12 +55,14 @@ def run_board_a(
     job = _BoardA(pages, search, as_of, detector, prior, hot_min_rows)
     kept, progress = job.walk(first_pages)
     postings = conform(kept.join(job.details, "job_id"), [*_WHERE, "description"])
+    quarantined = job.quarantined
     if search.use_analysis:
         gate = enrich_gate(search.desired_language, True, F.col("description_lang"))
-        postings = enrich(runtime.cut_lineage(postings), analyser, gate, FIELDS_A)
+        postings, unanswered = analysed_rows(postings, analyser, gate, FIELDS_A)
+        quarantined = quarantine_union(quarantined, unanswered.drop("description"))
     else:
         postings = postings.withColumn("token_cost", F.lit(0))
-    return Run(postings.drop("description"), job.quarantined, progress)
+    return Run(postings.drop("description"), quarantined, progress)
 
 
 class _BoardA:

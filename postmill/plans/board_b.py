@@ -11,7 +11,7 @@ from postmill import runtime
 from postmill.config import BoardBSearch
 from postmill.functions.enrichment import rule_analyser
 from postmill.operators.embedded import embedded_detail, embedded_results, page_results, posting_from_json
-from postmill.operators.enrich import FIELDS_B, enrich, enrich_gate
+from postmill.operators.enrich import FIELDS_B, analysed_rows, enrich_gate
 from postmill.operators.filters import quarantine_split
 from postmill.plans.run import Run
 from postmill.schema import conform
@@ -56,9 +56,11 @@ def run_board_b(
         "required_studies": F.lit(None).cast("string"),
     })
     gate = enrich_gate(search.desired_language, search.use_analysis, F.col("description_lang"))
+    unanswered = []
     if search.use_analysis:
         analyse = analyser or (lambda text: rule_analyser(text, False, False))
-        joined = enrich(runtime.cut_lineage(joined), analyse, gate, FIELDS_B)
+        joined, failing = analysed_rows(joined, analyse, gate, FIELDS_B)
+        unanswered.append(failing)
     else:
         joined = joined.withColumn("token_cost", F.lit(0))
 
@@ -68,6 +70,7 @@ def run_board_b(
         postings.filter(F.col("reason").isNotNull()),
         no_text,
         missing_pages(wanted, pages).withColumn("reason", F.lit("no detail page")),
+        *unanswered,
     )
     postings = conform(joined, ["position_no", "position", "card", "token_cost"])
     return Run(postings, quarantined)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -17,9 +18,9 @@ from postmill.operators.report import (
     report_sort,
 )
 from postmill.plans.board_a import run_board_a
-from postmill.plans.run import Run
+from postmill.plans.run import Run, quarantine_union
 from postmill.sources.report_sink import report_sink
-from postmill.sources.snapshot import snapshot_read, snapshot_write
+from postmill.sources.snapshot import keep_quarantined, snapshot_read, snapshot_write
 
 
 def run_and_save(
@@ -32,15 +33,20 @@ def run_and_save(
     analyser=None,
     layout: str = "lines",
 ) -> Run:
-    """Load the snapshot, run board A, save everything kept and write the report."""
+    """Load the snapshot, run board A, save everything kept and write the report.
+
+    Records of the snapshot that cannot be read move to `<snapshot_path>.quarantine`
+    before the snapshot is replaced; the run gives back all that are there.
+    """
     spark = pages.sparkSession
-    prior, _ = snapshot_read(spark, snapshot_path, layout)
+    prior, failing = snapshot_read(spark, snapshot_path, layout)
+    unreadable = keep_quarantined(failing, snapshot_path)
     run = run_board_a(pages, search, as_of, detector, prior, analyser)
     everything = boards_union(prior, run.postings.select(prior.columns))
     snapshot_write(everything, snapshot_path, layout)
     saved, _ = snapshot_read(spark, snapshot_path, layout)
     write_report(saved, report_path)
-    return run
+    return replace(run, quarantined=quarantine_union(run.quarantined, unreadable))
 
 
 def write_report(postings: DataFrame, path: str, layout: str = "csv") -> None:

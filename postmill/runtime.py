@@ -46,18 +46,31 @@ def written_table(df: DataFrame, partition_by: str) -> DataFrame:
 
 
 def replace_path(spark: SparkSession, fresh: str, path: str) -> None:
-    """Put a finished folder in the place of another; the old one goes last."""
+    """Put a finished folder in the place of another; the old one goes last.
+
+    Some file systems report a failed rename by its result alone, so results are checked,
+    and the old folder goes back if the new one cannot take its place.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs
     target, old = hadoop.Path(path), hadoop.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     had = fs.exists(target)
-    if had:
-        fs.rename(target, old)
-    fs.rename(hadoop.Path(fresh), target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"{path} cannot be moved; the new rows are in {fresh}")
+    if not fs.rename(hadoop.Path(fresh), target):
+        back = not had or fs.rename(old, target)
+        raise OSError(f"{fresh} cannot take the place of {path}" + ("" if back else f", now in {old}"))
     if had:
         fs.delete(old, True)
 
 
+def replaced_folders(spark: SparkSession, path: str) -> list[str]:
+    """Old folders that an interrupted `replace_path` has left behind."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-*")
+    found = old.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(old)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a materialised narrow table against the broadcast limit.
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from postmill.schema import STORED_SCHEMA, conform
 _CORRUPT = "_corrupt_record"
 _TIMES = ["posted_time", "date_analyzed"]
 _NUMBERS = ["experience_years_needed", "salary_offered"]
+LAYOUTS = ("lines", "array", "parquet")
 _TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 # Fields are read as text and cast one by one, so one odd value never costs a record.
@@ -35,7 +38,9 @@ def snapshot_read(spark: SparkSession, path: str, layout: str = "lines") -> tupl
     "array" (one JSON array per file), which takes one task per file and is meant for
     taking over existing snapshots. Unknown keys are dropped, absent keys and nulls take
     the posting defaults, and records that cannot be read are kept apart with a reason.
+    A path that an interrupted write has moved away is an error, not an empty snapshot.
     """
+    _check_layout(layout)
     try:
         if layout == "parquet":
             stored = spark.read.parquet(path)
@@ -50,6 +55,8 @@ def snapshot_read(spark: SparkSession, path: str, layout: str = "lines") -> tupl
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        if left := runtime.replaced_folders(spark, path):
+            raise RuntimeError(f"a write to {path} was interrupted; put {left[-1]} back first") from error
         return (
             spark.createDataFrame([], STORED_SCHEMA),
             spark.createDataFrame([], _quarantine_schema()),
@@ -57,6 +64,11 @@ def snapshot_read(spark: SparkSession, path: str, layout: str = "lines") -> tupl
     return split_records(raw)
 
 
+def _check_layout(layout: str) -> None:
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {', '.join(LAYOUTS)}, not {layout!r}")
+
+
 def _quarantine_schema() -> T.StructType:
     return T.StructType(_RAW_SCHEMA.fields + [T.StructField("reason", T.StringType())])
 
@@ -88,12 +100,39 @@ def snapshot_write(postings: DataFrame, path: str, layout: str = "lines") -> Non
     """Replace the snapshot with all postings.
 
     The rows usually derive from the snapshot being replaced, so they are written beside
-    it and take its place when complete.
+    it and take its place when complete. Each file of layout "array" is one JSON array.
     """
+    _check_layout(layout)
     fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    writer = conform(postings).write
+    rows = conform(postings)
+    options = {"timestampFormat": _TIMESTAMP_FORMAT, "ignoreNullFields": "false"}
     if layout == "parquet":
-        writer.parquet(fresh)
+        rows.write.parquet(fresh)
+    elif layout == "array":
+        records = rows.select(F.to_json(F.struct("*"), options).alias("value"))
+        records.mapInArrow(_as_array, "value string").write.text(fresh)
     else:
-        writer.option("timestampFormat", _TIMESTAMP_FORMAT).option("ignoreNullFields", False).json(fresh)
+        rows.write.options(**options).json(fresh)
     runtime.replace_path(postings.sparkSession, fresh, path)
+
+
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of a partition as the lines of one JSON array."""
+    mark = "["
+    for batch in batches:
+        lines = []
+        for record in batch.column(0).to_pylist():
+            lines.append(mark + record)
+            mark = ","
+        yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+    yield pa.RecordBatch.from_pydict({"value": ["[]" if mark == "[" else "]"]})
+
+
+def keep_quarantined(failing: DataFrame, path: str) -> DataFrame:
+    """Add unreadable records to the folder beside the snapshot; all of them so far.
+
+    A run that breaks off between this and the swap adds its records again when repeated.
+    """
+    folder = f"{path.rstrip('/')}.quarantine"
+    failing.write.mode("append").parquet(folder)
+    return failing.sparkSession.read.schema(_quarantine_schema()).parquet(folder)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.functions.enrichment import ANALYSIS_TYPE, rule_analyser
-from postmill.operators.enrich import FIELDS_A, FIELDS_B, enrich, enrich_gate
+from postmill.operators.enrich import FIELDS_A, FIELDS_B, analysed_rows, enrich, enrich_gate
 
 
 @pytest.fixture
@@ -50,3 +50,20 @@ def test_gate_settings(spark, postings):
     assert postings.filter(enrich_gate("", False, F.col("description_lang"))).count() == 0
     with pytest.raises(ValueError):
         enrich_gate("", True, F.col("description_lang"))
+
+
+def test_postings_without_a_usable_answer(spark):
+    rows = spark.createDataFrame(
+        [("1", "A degree in law", "en"), ("2", "broken", "en"), ("3", "broken", "fr")],
+        "job_id string, description string, description_lang string",
+    ).withColumns({
+        "required_studies": F.lit(""), "technologies_required": F.array().cast("array<string>"),
+        "experience_years_needed": F.lit(0), "salary_offered": F.lit(0),
+    })
+
+    def analyser(text):
+        return F.when(text != "broken", rule_analyser(text))
+
+    good, bad = analysed_rows(rows, analyser, enrich_gate("en", True, F.col("description_lang")), FIELDS_A)
+    assert sorted(r.job_id for r in good.collect()) == ["1", "3"]
+    assert [(r.job_id, r.reason) for r in bad.collect()] == [("2", "no usable analysis")]

@@ -95,3 +95,8 @@ def test_null_keys_compare_as_blank(spark):
     cards = spark.createDataFrame([(1, None, None, "a"), (2, "t", "c", None), (3, "t", "d", "b")], schema)
     prior = spark.createDataFrame([(1, "", " ", ""), (2, "x", "y", "z")], schema)
     assert [r.n for r in anti_join_prior(cards, prior).select(F.col("n")).collect()] == [3]
+
+
+def test_an_order_shared_by_two_rows_is_refused(spark):
+    with pytest.raises(ValueError):
+        run(spark, [(1, "a", "p"), (1, "a", "q")])

@@ -3,6 +3,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from boards import store_a
 from pyspark.sql import functions as F
 from test_board_a import AS_OF, make_store
@@ -70,7 +71,7 @@ def test_missing_and_malformed_snapshots(spark, tmp_path):
 
 
 def test_write_over_its_own_source(spark, tmp_path):
-    for layout in ("lines", "parquet"):
+    for layout in ("lines", "array", "parquet"):
         path = str(tmp_path / layout)
         source = tmp_path / "source.json"
         source.write_text(json.dumps([r for r in RECORDS if r["job_id"] != "5"], ensure_ascii=False))
@@ -114,6 +115,38 @@ def test_daily_run_twice(spark, tmp_path):
     assert saved.count() == kept == spark.read.option("header", True).csv(str(tmp_path / "report")).count()
 
 
+def test_daily_run_keeps_what_it_cannot_read(spark, tmp_path):
+    search_pages, details = make_store(3, positions=1, pages=1)
+    search = BoardASearch(positions="a", desired_language="en")
+    pages = store_a(spark, search, search_pages, details)
+    for layout in ("lines", "array"):
+        snap = tmp_path / f"snap-{layout}"
+        records = [r for r in RECORDS if r["job_id"] in "125"]
+        if layout == "lines":
+            snap.write_text("\n".join(json.dumps(r) for r in records))
+        else:
+            snap.write_text(json.dumps(records))
+        args = (pages, search, AS_OF, StopWordDetector(), str(snap), str(tmp_path / f"report-{layout}"))
+        for _ in range(2):
+            run = run_and_save(*args, layout=layout)
+            bad = [r.job_id for r in run.quarantined.collect() if r.reason == "unreadable posted_time"]
+            saved = [r.job_id for r in snapshot_read(spark, str(snap), layout)[0].select("job_id").collect()]
+            assert bad == ["5"] and {"1", "2"} <= set(saved) and len(saved) == len(set(saved))
+
+
+def test_layouts_and_interrupted_writes(spark, tmp_path):
+    empty = spark.createDataFrame([], STORED_SCHEMA)
+    with pytest.raises(ValueError):
+        snapshot_write(empty, str(tmp_path / "x"), "csv")
+    with pytest.raises(ValueError):
+        snapshot_read(spark, str(tmp_path / "x"), "csv")
+    snapshot_write(empty, str(tmp_path / "none"), "array")
+    assert snapshot_read(spark, str(tmp_path / "none"), "array")[0].count() == 0
+    (tmp_path / "y.old-1").mkdir()
+    with pytest.raises(RuntimeError):
+        snapshot_read(spark, str(tmp_path / "y"))
+
+
 def test_page_store(spark):
     search_pages, details = make_store(3, positions=1, pages=2)
     search = BoardASearch(positions="a")
