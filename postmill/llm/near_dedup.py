@@ -13,8 +13,10 @@ similarity 0.8 shares none of the 32 bands with probability (1 - 0.8^4)^32, abou
    for the others the full sets give the common size and the shingles that the hub lacks.
 3. A member x that its hub does not link can still be linked with another member y. Their
    common size is at most the lesser common size with the hub plus the shingles both have
-   and the hub lacks. So x meets only those y that share such a shingle, or that pass the
-   bound without one; the pairs left are confirmed on their full sets.
+   and the hub lacks. These are ranked from the rarest among the hub's members; x meets only
+   those y that share one with enough others ranked behind it in both, or that pass the bound
+   without any, so a shingle that most members hold pairs few of them. The pairs left are
+   counted on what the hub lacks, then confirmed on their full sets.
 4. Members whose signature rules their hub out meet the other members of the bucket, behind
    the same screens. Members that already are one component never meet again.
 
@@ -36,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from postmill.llm.common import fresh, written
 from postmill.llm.components import components
@@ -216,19 +219,38 @@ def _beside_hubs(compared: DataFrame, labels: DataFrame, percent: int) -> DataFr
         both.join(open_hubs, "a", "left_semi")
         .select("a", "b", "of_b", F.col("n_b").alias("n"), F.col("common").alias("c"), "novel", (F.col("of_a") != F.col("of_b")).alias("open"))
     )
-    columns = ["b", "of_b", "n", "c"]
-    x = near.filter("open").select("a", "novel", *(F.col(c).alias(f"x_{c}") for c in columns))
-    y = near.select("a", "novel", *(F.col(c).alias(f"y_{c}") for c in columns))
-    apart = F.col("x_of_b") != F.col("y_of_b")
+    carried = ["b", "of_b", "n", "c", "open"]
+    side = lambda d, by, *keys: d.select(*keys, *(F.col(c).alias(f"{by}_{c}") for c in d.columns if c not in keys))
+    # Of two open members the lesser is x, so that no pair comes twice.
+    apart = (F.col("x_of_b") != F.col("y_of_b")) & (~F.col("y_open") | (F.col("x_b") < F.col("y_b")))
     bound = lambda shared: _reaches(F.least("x_c", "y_c") + shared, F.col("x_n"), F.col("y_n"), percent)
-    single = lambda d: d.withColumn("shingle", F.explode(_unpacked("novel"))).drop("novel")
+    # A link holds at least this share of either member, whatever the size of the other.
+    alone = lambda more: 100 * (F.col("c") + more) >= percent * F.col("n")
+
+    single = near.select("a", *carried, F.explode(_unpacked("novel")).alias("shingle"))
+    held = (
+        single.groupBy("a", "shingle")
+        .agg(F.count(F.lit(1)).alias("holders"), F.max("open").alias("any_open"))
+        .filter("holders > 1 AND any_open")
+        .select("a", "shingle", "holders")
+    )
+    # Rarest first; the first shingle that two members share leaves both enough behind it.
+    behind = W.partitionBy("a", "b").orderBy(F.desc("holders"), F.desc("shingle"))
+    ranked = single.join(held, ["a", "shingle"]).withColumn("rest", F.row_number().over(behind))
+    ranked = written(ranked.filter(alone(F.col("rest"))).drop("holders"))
     sharing = (
-        single(x).join(single(y), ["a", "shingle"]).filter(apart)
-        .groupBy("a", "x_b", "y_b")
-        .agg(F.count(F.lit(1)).alias("shared"), *(F.max(c).alias(c) for c in ("x_n", "y_n", "x_c", "y_c")))
-        .filter(bound(F.col("shared")))
+        side(ranked.filter("open"), "x", "a", "shingle").join(side(ranked, "y", "a", "shingle"), ["a", "shingle"])
+        .filter(apart & bound(F.least("x_rest", "y_rest")))
+        .select("a", "x_b", "y_b")
+        .distinct()
+    )
+    members = near.select("a", "b", "n", "c", "novel")
+    counted = sharing.join(side(members.withColumnRenamed("b", "x_b"), "x", "a", "x_b"), ["a", "x_b"]).join(
+        side(members.withColumnRenamed("b", "y_b"), "y", "a", "y_b"), ["a", "y_b"]
     )
-    without = x.drop("novel").join(y.drop("novel"), "a").filter(apart & bound(F.lit(0)))
+    sharing = counted.filter(bound(_against("x_novel", "y_novel")["common"]))
+    inside = near.filter(alone(F.lit(0))).select("a", *carried)
+    without = side(inside.filter("open"), "x", "a").join(side(inside, "y", "a"), "a").filter(apart & bound(F.lit(0)))
     ends = [F.col("x_b").alias("a"), F.col("y_b").alias("b")]
     return sharing.select(ends).union(without.select(ends))
 

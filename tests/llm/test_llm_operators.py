@@ -103,6 +103,41 @@ def test_near_duplicates_equal_brute_force(spark, corpus, width):
     assert near_dedup.near_duplicates(corpus.limit(0), width).count() == 0
 
 
+def test_pairs_beside_a_hub_lose_no_link(spark):
+    draw, rows, labels, sets = random.Random(11), [], [], {}
+    for hub in (1000, 2000):
+        sets[hub] = set(range(hub, hub + 60))
+        common = set(range(hub + 500, hub + 506))  # what most members add
+        for group in range(8):
+            added = {draw.randrange(10**6, 10**7) for _ in range(draw.choice([4, 9, 14]))}
+            left = draw.sample(sorted(sets[hub]), draw.choice([46, 52, 60]))
+            for member in range(5):
+                own = set(left) | added | (common if draw.random() < 0.8 else set())
+                own -= set(draw.sample(sorted(own), draw.choice([0, 2, 5])))
+                b = hub + 10 * group + member + 1
+                sets[b] = own
+                c = len(own & sets[hub])
+                novel = np.array(sorted(own - sets[hub]), np.uint64).tobytes()
+                rows.append((hub, b, 60, len(own), c, bytearray(novel)))
+                if 180 * c >= 80 * (60 + len(own)):
+                    labels.append((b, hub))
+        labels.append((hub, hub))
+    # Two parts of one hub that add nothing to it.
+    sets[2901], sets[2902] = set(range(2000, 2040)), set(range(2001, 2041))
+    rows += [(2000, b, 60, 40, 40, bytearray()) for b in (2901, 2902)]
+    compared = spark.createDataFrame(rows, "a long, b long, n_a long, n_b long, common long, novel binary")
+    named = dict(labels)
+    got = near_dedup._beside_hubs(compared, spark.createDataFrame(labels, "node long, component long"), 80).collect()
+    got = [(min(r), max(r)) for r in got]
+    want = set()
+    for hub in (1000, 2000):
+        for x, y in itertools.combinations(sorted(r[1] for r in rows if r[0] == hub), 2):
+            if named.get(x, x) != named.get(y, y) and 180 * len(sets[x] & sets[y]) >= 80 * (len(sets[x]) + len(sets[y])):
+                want.add((x, y))
+    assert (2901, 2902) in want and len(want) > 20
+    assert want <= set(got) and len(got) <= len(set(got)) * 2
+
+
 def test_elias_fano_finds_what_is_there():
     draw = np.random.default_rng(0)
     for universe, n in ((1 << 20, 4000), (1 << 62, 3000), (64, 64), (9, 0), (1 << 50, 1)):
