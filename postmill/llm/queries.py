@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postmill.llm import (
     bpe,
     decontamination,
+    fill_in_middle,
     language_model,
     near_dedup,
     personal_data,
@@ -209,3 +210,41 @@ def op10_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(F.col("found.base")), 256).alias("base_sha256"),
         listed(F.col("found.spans")).alias("spans"),
     )
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = fill_in_middle.transform(docs).select("doc_id", "fim.*")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest(F.col("text")).alias("output_sha256"),
+        digest(fill_in_middle.restore(F.col("text"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT doc_id, t, u, len(u) AS n,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+    t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 AS plain,
+    CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 AS spm
+  FROM units
+), parts AS (
+  SELECT doc_id, t, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+    array_to_string(u[greatest(a, b) + 1:], '') AS s
+  FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
