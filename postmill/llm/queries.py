@@ -14,7 +14,9 @@ from postmill.llm import (
     language_model,
     near_dedup,
     personal_data,
+    prefix_trie,
     sharding,
+    substring_dedup,
     toxicity,
     url_filter,
     warc,
@@ -248,3 +250,77 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
   sha256(t) AS restored_sha256
 FROM parts
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+# crc32 by bits: one list_reduce over the bytes, one over the eight shifts of each.
+_SQL_CRC32 = (
+    "xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), "
+    "lambda crc, byte: list_reduce(range(8), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(crc, byte)), "
+    "4294967295), 4294967295)"
+)
+ORACLES["op12_prefix_trie"] = rf"""
+WITH t AS (
+  SELECT conv_id, role_text, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role_text)) AS pos
+  FROM (SELECT conv_id, turn, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS role_text,
+      CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words
+    FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {_SQL_CRC32} % 4 AS h, list({{'t': role_text, 'w': words}} ORDER BY pos) AS own
+  FROM t GROUP BY conv_id
+), r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS turns
+  FROM c LEFT JOIN c b ON b.conv_id = c.base
+), p AS (
+  SELECT conv_id, len(turns) AS ended, d.depth, list_transform(turns[1:d.depth], lambda x: x.t) AS path, turns[d.depth].w AS words
+  FROM r, LATERAL (SELECT unnest(range(len(turns) + 1)) AS depth) d
+), n AS (
+  SELECT md5(CAST(path AS VARCHAR)) AS id, any_value(path) AS path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(any_value(words), 0) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ended = depth), '')) AS ends_sha256
+  FROM p GROUP BY path
+), m AS (
+  SELECT n.*, CASE WHEN depth > 0 THEN md5(CAST(path[1:depth - 1] AS VARCHAR)) END AS up,
+  FROM n
+), k AS (SELECT up, count(*) AS n_children FROM m WHERE up IS NOT NULL GROUP BY up
+), w AS (
+  SELECT m.*, coalesce(k.n_children, 0) AS n_children FROM m LEFT JOIN k ON k.up = m.id
+), ups AS (
+  SELECT md5(CAST(path[1:a.d] AS VARCHAR)) AS id, (n_convs - 1) * words AS saved, n_children = 0 AS leaf
+  FROM w, LATERAL (SELECT unnest(range(w.depth + 1)) AS d) a
+), s AS (
+  SELECT id, sum(saved) AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves FROM ups GROUP BY id
+)
+SELECT w.conv_id, w.depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN s USING (id) LEFT JOIN w q ON q.id = w.up
+"""
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring_dedup.drop_repeats(docs)
+    return cut.select("doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM d WHERE len(words) >= 20
+), n AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY md5(array_to_string(words[pos:pos + 19], ' ')) ORDER BY doc_id, pos) AS place FROM w
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM n WHERE place > 1
+), g AS (
+  SELECT doc_id, list(pos) AS ats FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(ats), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(words, lambda x, i: NOT coalesce(list_contains(ats, i), false)), ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
