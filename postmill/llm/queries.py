@@ -318,9 +318,11 @@ WITH d AS (
 ), gone AS (
   SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM n WHERE place > 1
 ), g AS (
-  SELECT doc_id, list(pos) AS ats FROM gone GROUP BY doc_id
+  SELECT doc_id, count(*) FILTER (WHERE gone.pos IS NULL) AS n_kept, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone.pos IS NULL) AS kept
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d) LEFT JOIN gone USING (doc_id, pos)
+  GROUP BY doc_id
 )
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(ats), 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(list_filter(words, lambda x, i: NOT coalesce(list_contains(ats, i), false)), ' ')) AS kept_sha256
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """
