@@ -16,7 +16,7 @@ from postmill.operators.filters import quarantine_split
 from postmill.plans.run import Run
 from postmill.schema import conform
 from postmill.sources.frontier import search_frontier_b, with_search_url_b
-from postmill.sources.page_store import extract_for, missing_pages
+from postmill.sources.page_store import extract_for
 
 
 def run_board_b(
@@ -37,7 +37,9 @@ def run_board_b(
         frontier = search_frontier_b(pages.sparkSession, search)
     else:
         frontier = runtime.cut_lineage(with_search_url_b(phrases, search))
-    searched = runtime.cut_lineage(extract_for(frontier, pages, "url", page_results))
+    # Search and detail pages have addresses of their own, so each pass reads its part.
+    listings = pages.filter(F.startswith("url", F.lit(f"{search.base_url}/jobs?")))
+    searched = runtime.cut_lineage(extract_for(frontier, listings, "url", page_results))
     results, unreadable = embedded_results(searched)
     results = results.drop("url")
     postings = posting_from_json(results, as_of, search.base_url)
@@ -45,7 +47,8 @@ def run_board_b(
     usable = runtime.cut_lineage(usable.withColumn("title_lang", detector.detect(F.col("title"))))
 
     wanted = runtime.cut_lineage(usable.select("url").distinct())
-    details = runtime.cut_lineage(extract_for(wanted, pages, "url", _detail_text))
+    described = pages.filter(F.startswith("url", F.lit(f"{search.base_url}/viewjob?")))
+    details = runtime.cut_lineage(extract_for(wanted, described, "url", _detail_text))
     readable, no_text = quarantine_split(details, {"no readable detail": F.col("description").isNotNull()})
     readable = readable.withColumn("description_lang", detector.detect(F.col("description")))
     hot = runtime.hot_keys(usable, "url", usable.count(), hot_min_rows)
@@ -65,17 +68,22 @@ def run_board_b(
         joined = joined.withColumn("token_cost", F.lit(0))
 
     quarantined = _reasons(
-        missing_pages(frontier, pages).withColumn("reason", F.lit("no search page")),
+        _without(frontier, searched, "no search page"),
         unreadable,
         postings.filter(F.col("reason").isNotNull()),
         no_text,
-        missing_pages(wanted, pages).withColumn("reason", F.lit("no detail page")),
+        _without(wanted, details, "no detail page"),
         *unanswered,
     )
     postings = conform(joined, ["position_no", "position", "card", "token_cost"])
     return Run(postings, quarantined)
 
 
+def _without(asked: DataFrame, answered: DataFrame, reason: str) -> DataFrame:
+    """Addresses that no page with content answered; both tables are written, html is not read."""
+    return asked.join(answered.select("url").distinct(), "url", "left_anti").withColumn("reason", F.lit(reason))
+
+
 def _detail_text(pages: DataFrame) -> DataFrame:
     return pages.select("url", embedded_detail(F.col("html")).alias("description"))
 

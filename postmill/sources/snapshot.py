@@ -14,10 +14,12 @@ from pyspark.sql.utils import AnalysisException
 from postmill import runtime
 from postmill.operators.filters import quarantine_split
 from postmill.schema import STORED_SCHEMA, conform
+from postmill.sources.json_array import array_elements
 
 _CORRUPT = "_corrupt_record"
 _TIMES = ["posted_time", "date_analyzed"]
 _NUMBERS = ["experience_years_needed", "salary_offered"]
+_PARSING = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
 LAYOUTS = ("lines", "array", "parquet")
 _TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -34,10 +36,10 @@ _RAW_SCHEMA = T.StructType(
 def snapshot_read(spark: SparkSession, path: str, layout: str = "lines") -> tuple[DataFrame, DataFrame]:
     """(postings, quarantined records) of a snapshot; a missing path is an empty snapshot.
 
-    `layout` is "lines" (one object per line) or "parquet", which split across tasks, or
-    "array" (one JSON array per file), which takes one task per file and is meant for
-    taking over existing snapshots. Unknown keys are dropped, absent keys and nulls take
-    the posting defaults, and records that cannot be read are kept apart with a reason.
+    `layout` is "lines" (one object per line), "parquet" or "array" (JSON arrays, usually
+    one per file); files of any of them are split across tasks. Unknown keys are dropped,
+    absent keys and nulls take the posting defaults, and records that cannot be read are
+    kept apart with a reason.
     A path that an interrupted write has moved away is an error, not an empty snapshot.
     """
     _check_layout(layout)
@@ -45,13 +47,10 @@ def snapshot_read(spark: SparkSession, path: str, layout: str = "lines") -> tupl
         if layout == "parquet":
             stored = spark.read.parquet(path)
             return conform(stored), spark.createDataFrame([], _quarantine_schema())
-        raw = (
-            spark.read.schema(_RAW_SCHEMA)
-            .option("multiLine", layout == "array")
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", _CORRUPT)
-            .json(path)
-        )
+        if layout == "array":
+            raw = parsed_records(array_elements(spark, path))
+        else:
+            raw = spark.read.schema(_RAW_SCHEMA).options(**_PARSING).json(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -64,6 +63,15 @@ def snapshot_read(spark: SparkSession, path: str, layout: str = "lines") -> tupl
     return split_records(raw)
 
 
+def parsed_records(texts: DataFrame) -> DataFrame:
+    """Raw records out of (value), JSON text each; what is no object is corrupt."""
+    record = F.from_json(F.when(F.startswith("value", F.lit("{")), F.col("value")), _RAW_SCHEMA, _PARSING)
+    parsed = texts.withColumn("_r", record).select("value", "_r.*")
+    return parsed.withColumn(
+        _CORRUPT, F.when(F.startswith("value", F.lit("{")), F.col(_CORRUPT)).otherwise(F.col("value"))
+    ).drop("value")
+
+
 def _check_layout(layout: str) -> None:
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {', '.join(LAYOUTS)}, not {layout!r}")
@@ -128,11 +136,12 @@ def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"value": ["[]" if mark == "[" else "]"]})
 
 
-def keep_quarantined(failing: DataFrame, path: str) -> DataFrame:
-    """Add unreadable records to the folder beside the snapshot; all of them so far.
+def keep_quarantined(failing: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Add the unreadable records of a run to the folder beside the snapshot; all so far.
 
-    A run that breaks off between this and the swap adds its records again when repeated.
+    A run has a folder of its own and overwrites it, so repeating one adds nothing twice.
     """
     folder = f"{path.rstrip('/')}.quarantine"
-    failing.write.mode("append").parquet(folder)
-    return failing.sparkSession.read.schema(_quarantine_schema()).parquet(folder)
+    failing.write.mode("overwrite").parquet(f"{folder}/run={run_id}")
+    stored = T.StructType([*_quarantine_schema().fields, T.StructField("run", T.StringType())])
+    return failing.sparkSession.read.schema(stored).parquet(folder).drop("run")
