@@ -5,16 +5,29 @@ its pair. That is the greedy matching of a bipartite graph whose edges are the r
 it is computed in rounds: the rows that come first under both of their keys stay, rows
 sharing a key with them go, and the rest play the next round. (Blelloch, Fineman, Shun:
 "Greedy sequential maximal independent set and matching are parallel on average", 2012.)
+
+Rounds settle most rows at once, but a chain of conflicts takes a round a link. So a few
+rounds are followed by a split of what is left into connected components, which cannot
+influence each other: those of bounded size are walked in order inside a task, many of them
+side by side, and only rows of larger ones play on. A rest of bounded size is walked at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill import runtime
+from postmill.operators.components import components
 
 _ORDER, _ID, _PAIR = "_o", "_i", "_p"
+# Rows that one task walks in order; a row costs some hundred bytes there.
+WALKED_ROWS = 100_000
+ROUNDS = 4
 
 
 def greedy_dedup(
@@ -23,11 +36,13 @@ def greedy_dedup(
     id_key: str,
     pair_key: str,
     hot_min_rows: int = runtime.HOT_MIN_ROWS,
+    walked_rows: int = WALKED_ROWS,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """The rows that stay. `order` must be unique over the rows; keys compare null as null.
 
-    Only (order, id, pair) travels through the rounds; whole rows join back at the end on
-    the unique order. Each round writes two shrinking tables to the checkpoint folder.
+    Only (order, id, pair) travels; whole rows join back at the end on the unique order. An
+    order without value, or one that a row which stays shares with another, is an error.
     """
     # A single number keeps the minima in hash aggregates; a struct has to be sorted.
     place = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate(order)])
@@ -36,29 +51,46 @@ def greedy_dedup(
     )
     # Of rows with both keys equal only the first can stay: either it stays and blocks the
     # rest, or what blocks it blocks them too. Copies collapse before the shuffle.
-    edges = runtime.cut_lineage(edges.groupBy(_ID, _PAIR).agg(F.min(_ORDER).alias(_ORDER)))
-    counts = edges.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(_ORDER).alias("places")).first()
-    if counts["n"] != counts["places"]:
+    collapsed = edges.groupBy(_ID, _PAIR).agg(
+        F.min(_ORDER).alias(_ORDER), F.max(F.col(_ORDER).isNull()).alias("_null")
+    )
+    collapsed, left, nulls = runtime.cut_and_count(collapsed, F.count_if("_null"))
+    if nulls:
         raise ValueError("the order must be unique and never null")
-    left = counts["n"]
-    kept = None
-    while left:
+    edges = collapsed.drop("_null")
+    kept: list[DataFrame] = []
+    played = 0
+    while left > walked_rows:
+        if played == rounds:
+            small, edges, left = _split(edges, walked_rows)
+            kept.append(_walked(small))
+            played = 0
+            continue
         winners = runtime.cut_lineage(_first_on_both_keys(edges))
-        kept = winners if kept is None else kept.unionByName(winners)
+        kept.append(winners.select(_ORDER))
         rest = edges
         for key in (_ID, _PAIR):
             hot = runtime.hot_keys(edges, key, left, hot_min_rows)
             if hot is not None and rest is not edges:
                 rest = runtime.cut_lineage(rest)
             rest = runtime.split_by_membership(rest, winners.select(key), key, hot)
-        edges = runtime.cut_lineage(rest)
-        before, left = left, edges.count()
+        before = left
+        edges, left = runtime.cut_and_count(rest)
+        played += 1
         if left == before:
             raise ValueError("the order must be unique and never null")
-    if kept is None:
+    if left:
+        kept.append(_walked(edges.withColumn("_part", F.lit(0).cast("long"))))
+    if not kept:
         return rows.limit(0)
+    stay = kept[0]
+    for more in kept[1:]:
+        stay = stay.unionByName(more)
+    stay, expected = runtime.cut_and_count(stay)
     marked = rows.withColumn(_ORDER, place)
-    return marked.join(kept.select(_ORDER), _ORDER, "left_semi").select(rows.columns)
+    if marked.select(_ORDER).join(stay, _ORDER, "left_semi").count() != expected:
+        raise ValueError("the order must be unique and never null")
+    return marked.join(stay, _ORDER, "left_semi").select(rows.columns)
 
 
 def _first_on_both_keys(edges: DataFrame) -> DataFrame:
@@ -70,3 +102,41 @@ def _first_on_both_keys(edges: DataFrame) -> DataFrame:
     by_id = edges.groupBy(_ID).agg(F.min(_ORDER).alias(_ORDER))
     by_pair = edges.groupBy(_PAIR).agg(F.min(_ORDER).alias(_ORDER))
     return by_id.join(by_pair, _ORDER).select(_ORDER, _ID, _PAIR)
+
+
+def _split(edges: DataFrame, walked_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(edges of components with at most so many, with `_part`; the others; their number).
+
+    Keys are nodes by their hash: if hashes of different keys met, two components would be
+    walked as one, which gives the same rows.
+    """
+    ends = {"a": F.xxhash64(F.lit("id"), _ID), "b": F.xxhash64(F.lit("pair"), _PAIR)}
+    hashed = runtime.cut_lineage(edges.withColumns(ends))
+    labels = components(hashed).withColumnsRenamed({"node": "a", "component": "_part"})
+    parted = runtime.cut_lineage(hashed.join(labels, "a").drop("a", "b"))
+    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.filter(F.col("_n") > walked_rows).select("_part")
+    rest, left = runtime.cut_and_count(parted.join(large, "_part", "left_semi").drop("_part"))
+    return parted.join(large, "_part", "left_anti"), rest, left
+
+
+def _walked(parted: DataFrame) -> DataFrame:
+    """Orders of the edges that stay, each `_part` walked in order on its own."""
+    keyed = parted.select("_part", _ORDER, F.to_json(_ID).alias(_ID), F.to_json(_PAIR).alias(_PAIR))
+    dealt = keyed.repartition("_part").sortWithinPartitions("_part", _ORDER)
+    return dealt.mapInArrow(_walk, T.StructType([keyed.schema[_ORDER]]))
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, ids, pairs = None, set(), set()
+    for batch in batches:
+        stays = []
+        for own, one, two in zip(*(batch.column(c).to_pylist() for c in ("_part", _ID, _PAIR)), strict=True):
+            if own != part:
+                part, ids, pairs = own, set(), set()
+            free = one not in ids and two not in pairs
+            if free:
+                ids.add(one)
+                pairs.add(two)
+            stays.append(free)
+        yield batch.select([_ORDER]).filter(pa.array(stays, pa.bool_()))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.operators.components import components
 from postmill.operators.greedy import greedy_dedup
 from postmill.operators.joins import anti_join_prior
 
@@ -100,3 +101,60 @@ def test_null_keys_compare_as_blank(spark):
 def test_an_order_shared_by_two_rows_is_refused(spark):
     with pytest.raises(ValueError):
         run(spark, [(1, "a", "p"), (1, "a", "q")])
+
+
+def test_repeated_rows_are_refused(spark):
+    for extra in ([(1, "a", "p")], [(1, "a", "q")]):
+        with pytest.raises(ValueError):
+            run(spark, [(1, "a", "p"), (2, "b", "q"), *extra])
+    # Repeats of a row that goes change nothing.
+    assert run(spark, [(1, "a", "p"), (2, "a", "q"), (2, "a", "q"), (3, "c", "q")]) == [1, 3]
+
+
+def chain(n):
+    """Each row shares one key with the row before it, so every other row stays."""
+    return [(o, f"i{(o + 1) // 2}", f"p{o // 2}") for o in range(n)]
+
+
+def test_a_long_chain_takes_a_handful_of_jobs(spark):
+    edges = chain(10_000)
+    spark.sparkContext.setJobGroup("chain", "a chain of conflicts")
+    try:
+        assert run(spark, edges) == sequential(edges) == list(range(0, 10_000, 2))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 25
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_many_long_chains_are_split_into_components(spark):
+    rng = random.Random(5)
+    edges = []
+    for n in range(12):
+        edges += [(o * 12 + n, f"{n}{i}", f"{n}{p}") for o, i, p in chain(rng.randrange(50, 90))]
+    rng.shuffle(edges)
+    assert run(spark, edges, walked_rows=100, rounds=1) == sequential(edges)
+
+
+@pytest.mark.parametrize("walked_rows, rounds", [(0, 3), (60, 2)])
+def test_every_way_to_finish_gives_the_sequential_rows(spark, walked_rows, rounds):
+    rng = random.Random(walked_rows)
+    edges = [(o, str(rng.randrange(90)), rng.choice([None, *map(str, range(90))])) for o in range(260)]
+    assert run(spark, edges, walked_rows=walked_rows, rounds=rounds) == sequential(edges)
+
+
+def test_components_are_least_reachable_nodes(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 470)] + [(900, 900)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.component for r in got.collect()} == {x: find(x) for x in parent}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
