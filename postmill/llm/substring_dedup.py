@@ -18,8 +18,9 @@ change nothing in what is removed.
 4. Every document with such places loses the words they cover; windows are judged on the given
    text, so the loss of one word changes no other window.
 
-Buckets are as many as the bytes of all texts call for. The texts cross the shuffle in the joins
-that bring places to their documents, whose hot side Spark can split.
+Buckets are as many as the bytes of all texts call for. Texts cross the shuffle in the joins that
+bring places to their documents, whose hot side Spark can split; a Bloom filter of the documents
+that have places, bounded in size, keeps the other texts out of it.
 
 Documents are ordered by id, null ids last; those that share an id by a hash of their texts.
 Equal rows of one id are one document and give equal results. Null and empty texts have no words.
@@ -40,6 +41,7 @@ from pyspark.sql import types as T
 
 from postmill.llm.common import fresh, runs_of, written
 from postmill.llm.shingles import hashes_of, mix
+from postmill.operators.bloom import BloomFilter
 
 WINDOW = 20
 # Bytes of text that make a source, and that make a bucket of names.
@@ -67,7 +69,8 @@ class Windows:
         words = [words_of(t) for t in texts]
         counts = np.array([len(w) for w in words], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else counts
-        self.window, self.half = window, window // 2
+        # Two halves cover a window; of an odd length they share a word.
+        self.window, self.half = window, (window + 1) // 2
         hashes = hashes_of([w for own in words for w in own])
         size = max(0, len(hashes) - self.half + 1)
         half = np.full(size, self.half, np.uint64)
@@ -261,7 +264,9 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = max(1, -(-size // BUCKET_BYTES))
     # Equal rows of one document have equal marks, so one of them stands for all.
     halves = _repeated(docs, window, buckets, later=False).groupBy("a", "b").agg(F.max("marks").alias("marks"))
-    open_ = docs.join(written(halves), ["a", "b"]).dropDuplicates(["a", "b"]).select("a", "b", "text", "marks")
+    halves = written(halves)
+    wanted = BloomFilter.of(halves, "b", halves.count()).keep(docs, "b")
+    open_ = wanted.join(halves, ["a", "b"]).dropDuplicates(["a", "b"]).select("a", "b", "text", "marks")
     return written(_repeated(open_, window, buckets, later=True))
 
 
@@ -302,8 +307,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
         b: F.xxhash64(F.col(doc_id).isNull(), F.coalesce(own, F.lit(b""))),
     })
     marks = repeated_places(keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), own.alias("text")), window)
-    held = fresh(keyed, "_marks")
-    joined = keyed.join(marks.select(F.col("a").alias(a), F.col("b").alias(b), F.col("marks").alias(held)), [a, b], "left")
-    return joined.withColumn(output, _cutter(window)(own, F.col(held))).select(
+    held, maybe = fresh(keyed, "_marks"), fresh(keyed, "_maybe")
+    asked = BloomFilter.of(marks, "b", marks.count()).marked(keyed, b, maybe)
+    named = marks.select(F.col("a").alias(a), F.col("b").alias(b), F.col("marks").alias(held))
+    joined = asked.filter(maybe).join(named, [a, b], "left").select(*keyed.columns, held)
+    clean = asked.filter(~F.col(maybe)).select(*keyed.columns, F.lit(None).cast("binary").alias(held))
+    return joined.union(clean).withColumn(output, _cutter(window)(own, F.col(held))).select(
         *(c for c in docs.columns if c != output), output
     )
