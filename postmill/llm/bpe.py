@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the ranks of a public vocabulary.
 
-Each task splits its texts with the vocabulary's pattern and looks pieces up in a bounded
-cache. Pieces not in it are encoded together: byte ids in padded matrices, one matrix for
+Each task splits its texts with the vocabulary's pattern and looks pieces up in a cache
+bounded in bytes. Pieces not in it are encoded together: byte ids in padded matrices, one matrix for
 each class of lengths. In every round each row merges its leftmost pair of least rank; pair
 ranks come from an open-addressing hash table, the matrix is compacted by one column, and
 rows without a mergeable pair leave. Only the vocabulary (of fixed size) is broadcast, and
@@ -18,7 +18,7 @@ import base64
 import functools
 import heapq
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -29,9 +29,12 @@ from pyspark.sql import functions as F
 from postmill.llm.common import runs_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-# Pieces a worker keeps, and the longest that go to a matrix: a row of n bytes takes up to
-# n rounds over n columns, so beyond this a heap of pairs does the same merges in n log n.
-CACHED_PIECES = 400_000
+# Bytes of pieces and ids that a task keeps, and the longest piece it keeps.
+CACHE_BYTES = 32 << 20
+CACHED_PIECE = 64
+_ENTRY_BYTES = 180
+# The longest pieces that go to a matrix: a row of n bytes takes up to n rounds over n columns,
+# so beyond this a heap of pairs does the same merges in n log n.
 MATRIX_BYTES = 512
 ROUND_BYTES = 1 << 20
 _NONE = np.int32(2**31 - 1)
@@ -118,20 +121,29 @@ class Vocabulary:
         self.pairs = PairTable(*(np.array(column, np.int32) for column in zip(*pairs, strict=True)))
         self.split = splitter(pattern)
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
+
+    def forget(self) -> None:
+        """Drop the kept pieces."""
+        self.cache.clear()
+        self.cached = 0
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         out: list[bytes] = []
         for start, end in runs_of([len(t) for t in texts], ROUND_BYTES):
             pieces = [self.split(text) for text in texts[start:end]]
-            missing = set().union(*pieces).difference(self.cache)
-            if missing:
-                if len(self.cache) + len(missing) > CACHED_PIECES:
-                    self.cache.clear()
-                    missing = set().union(*pieces)
-                missing = list(missing)
-                self.cache.update(zip(missing, self.encode_pieces([p.encode() for p in missing]), strict=True))
+            missing = list(set().union(*pieces).difference(self.cache))
+            codes = self.encode_pieces([p.encode() for p in missing])
+            self.cache.update(zip(missing, codes, strict=True))
             out.extend(b"".join(map(self.cache.__getitem__, own)) for own in pieces)
+            for piece, code in zip(missing, codes, strict=True):
+                if len(piece) > CACHED_PIECE:
+                    del self.cache[piece]
+                else:
+                    self.cached += _ENTRY_BYTES + len(piece) + len(code)
+            if self.cached > CACHE_BYTES:
+                self.forget()
         return out
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
@@ -255,6 +267,36 @@ def tokenizer(
     return encode, decode
 
 
+def code_texts(docs: DataFrame, text: str = "text", output: str = "coded", path: str | None = None, keep_decoded: bool = True) -> DataFrame:
+    """All rows with a struct of the packed ids of `text`, what they decode to (if kept) and
+    whether that is the text. Both directions run in one pass over a batch, and a task forgets
+    the pieces it has met when its rows end."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    pattern = public_tokenizers.PATTERN
+    names = ["ids", *(["decoded"] if keep_decoded else []), "same"]
+    kinds = {"ids": "binary", "decoded": "binary", "same": "boolean"}
+
+    @F.arrow_udf(", ".join(f"{n} {kinds[n]}" for n in names))
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = vocabulary(ranks.value, pattern)
+        try:
+            for batch in batches:
+                texts = ["" if t is None else t for t in batch.to_pylist()]
+                ids = own.encode_batch(texts)
+                decoded, same = [], []
+                for text, packed in zip(texts, ids, strict=True):
+                    raw = own.decode(packed)
+                    same.append(raw == text.encode())
+                    if keep_decoded:
+                        decoded.append(raw)
+                columns = {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.binary()), "same": pa.array(same, pa.bool_())}
+                yield pa.StructArray.from_arrays([columns[n] for n in names], names)
+        finally:
+            own.forget()
+
+    return docs.withColumn(output, code(F.col(text).cast("string")))
+
+
 def encode_texts(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """All rows with the packed ids of `text` in column `ids`."""
     encode, _ = tokenizer(docs.sparkSession, path)

@@ -5,15 +5,18 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-# Distinct words whose hashes a worker keeps; others are hashed each time.
-KEPT_WORDS = 300_000
+# Words whose hashes a worker keeps, and the longest of them, in bytes; a full store starts anew,
+# so words that come once do not crowd out those that come often. Some 15 MB at most.
+KEPT_WORDS, KEPT_WORD = 100_000, 40
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < KEPT_WORDS:
+        if len(word) <= KEPT_WORD:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
             self[word] = value
         return value
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -43,10 +44,14 @@ def test_long_pieces_take_the_same_merges(own, library):
 
 
 def test_a_full_cache_is_renewed(own, library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED_PIECES", 3)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 600)
     monkeypatch.setattr(bpe, "ROUND_BYTES", 4)
-    texts = ["one two three four", "five six seven", "one two"]
+    own.forget()
+    texts = ["one two three four", "five six seven", "one two", "a" * 300 + " one"]
     assert [ids_of(x) for x in own.encode_batch(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert own.cached <= 600 and max(map(len, own.cache)) <= bpe.CACHED_PIECE
+    own.forget()
+    assert not own.cache and own.cached == 0
 
 
 def test_rows_with_nulls_empties_repeats_and_taken_names(spark, library):
@@ -58,3 +63,8 @@ def test_rows_with_nulls_empties_repeats_and_taken_names(spark, library):
         assert ids_of(row["ids"]) == library.encode_ordinary(row["text"] or "")
         assert bytes(row["decoded"]) == (row["text"] or "").encode()
     assert bpe.encode_texts(docs.limit(0)).collect() == []
+    for keep in (True, False):
+        coded = bpe.code_texts(docs, output="ids", keep_decoded=keep).collect()
+        assert len(coded) == 5 and all(r["ids"]["same"] for r in coded) and ("decoded" in coded[0]["ids"]) == keep
+        assert Counter(bytes(r["ids"]["ids"]) for r in coded) == Counter(bytes(r["ids"]) for r in got)
+    assert bpe.code_texts(docs.limit(0)).collect() == []
