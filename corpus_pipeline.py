@@ -37,12 +37,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text, in place of the text."""
-    coded = bpe.decode_ids(bpe.encode_texts(docs.select("doc_id", text_or_empty().alias("text"))))
+    coded = bpe.code_texts(docs.select("doc_id", text_or_empty().alias("text")), keep_decoded=False)
     return coded.select(
         "doc_id",
-        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        "ids",
-        (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"),
+        F.floor(F.octet_length("coded.ids") / 4).cast("long").alias("n_tokens"),
+        F.col("coded.ids").alias("ids"),
+        F.col("coded.same").alias("round_trip"),
     )
 
 
