@@ -18,9 +18,14 @@ similarity 0.8 shares none of the 32 bands with probability (1 - 0.8^4)^32, abou
    without any, so a shingle that most members hold pairs few of them. The pairs left are
    counted on what the hub lacks, then confirmed on their full sets.
 4. Members whose signature rules their hub out meet the other members of the bucket, behind
-   the same screens. Members that already are one component never meet again.
+   the same screens, where these are at most 32. Texts that share no more than a passage can
+   crowd a bucket, so the members of larger ones are joined by prefixes of their full sets: a
+   set's shingles are ordered from the rarest among these members, and two sets that could be
+   linked share one within a first part of each, whose length follows from the least common
+   size, shorter for the smaller set. What they share beyond that place must still suffice.
+5. Members that already are one component never meet again.
 
-No cap cuts any of this off.
+No cap cuts any of this off: both ways of step 4 find every link between members.
 
 Nulls and texts without words have no shingles and are linked with nothing. Rows that share
 an id are one document, kept or dropped together; rows with a null id stay single and kept.
@@ -49,6 +54,8 @@ PERMUTATIONS, BAND_ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 # Of 128 signature values a pair at 0.8 has about 102 equal; the deviation is about 4.5.
 SCREEN_EQUAL = 72
+# Members of a bucket, its hub aside, that are paired with each other.
+PAIRED_MEMBERS = 32
 
 
 @functools.lru_cache(maxsize=1)
@@ -201,7 +208,7 @@ def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     unlike = written(_labelled(buckets.join(plausible, ["a", "b"], "left_anti"), labels, "b", "of_b"))
     left = written(
         _beside_hubs(compared, labels, percent)
-        .union(_unlike_hubs(unlike, buckets, labels))
+        .union(_unlike_hubs(unlike, buckets, labels, texts, width, percent))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
@@ -255,13 +262,51 @@ def _beside_hubs(compared: DataFrame, labels: DataFrame, percent: int) -> DataFr
     return sharing.select(ends).union(without.select(ends))
 
 
-def _unlike_hubs(unlike: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members unlike their hub against the other members of the bucket."""
-    others = _labelled(buckets.join(unlike.select("key").distinct(), "key", "left_semi"), labels, "b", "of_y")
+def _unlike_hubs(
+    unlike: DataFrame, buckets: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Pairs of members of one bucket, one of them unlike the hub, that could be linked."""
+    open_ = buckets.join(unlike.select("key").distinct(), "key", "left_semi")
+    sizes = open_.groupBy("key").agg((F.count(F.lit(1)) > PAIRED_MEMBERS).alias("crowded"))
+    sized = written(open_.join(sizes, "key"))
+    few = _labelled(sized.filter("NOT crowded"), labels, "b", "of_y")
     joined = unlike.select("key", F.col("b").alias("x"), F.col("of_b").alias("of_x")).join(
-        others.select("key", F.col("b").alias("y"), "of_y"), "key"
+        few.select("key", F.col("b").alias("y"), "of_y"), "key"
+    )
+    paired = joined.filter("x <> y AND of_x <> of_y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    crowded = written(sized.filter("crowded").select(F.col("b").alias("id")).distinct())
+    return paired.union(_prefix_pairs(crowded, texts, labels, width, percent))
+
+
+def _prefix_pairs(wanted: DataFrame, texts: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the wanted ids, of different components, that hold every link between
+    them: sets that share a shingle within the prefixes that a link would need."""
+    side = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
+    own = texts.join(side, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    sets = own.select("id", _set_of(width)(F.col("text").cast("binary")).alias("packed"))
+    single = written(
+        _labelled(sets, labels, "id", "of").select(
+            "id", "of", F.floor(F.octet_length("packed") / 8).alias("n"), F.explode(_unpacked("packed")).alias("shingle")
+        )
+    )
+    held = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    # Shingles that no other wanted set has come first and pair nothing, so they are only counted.
+    first = W.partitionBy("id").orderBy("holders", "shingle")
+    place = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("id")) + F.row_number().over(first) - 1
+    ranked = single.join(held, "shingle").withColumn("place", place)
+    # A set of at most the other's size shares at least 2p / (100 + p) of itself, any p / 100.
+    behind = F.col("n") - F.col("place")
+    longer = written(ranked.filter(100 * behind >= percent * F.col("n")).drop("holders"))
+    shorter = longer.filter((100 + percent) * behind >= 2 * percent * F.col("n"))
+    x = shorter.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "of", "n", "place")))
+    y = longer.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("id", "of", "n", "place")))
+    left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
+    met = x.join(y, "shingle").filter(
+        smaller & (100 * F.col("x_n") >= percent * F.col("y_n")) & (F.col("x_of") != F.col("y_of"))
+        & _reaches(left, F.col("x_n"), F.col("y_n"), percent)
     )
-    return joined.filter("x <> y AND of_x <> of_y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
 def near_duplicates(
