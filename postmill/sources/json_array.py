@@ -102,7 +102,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-_STARTS_SQL = "file string, block long, state int, depth long, base int, before long, began long"
+_STARTS_SQL = "file string, block long, state long, depth long, base long, before long, began long"
 
 
 def _starts(table: pa.Table) -> pa.Table:
