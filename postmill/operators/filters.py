@@ -32,7 +32,8 @@ def posting_predicates(
 ) -> DataFrame:
     """Search constraints as plain predicates, so that they reach the scan."""
     if max_age_days is not None:
-        max_age_seconds = min(max_age_days * 86_400, max_age_seconds or max_age_days * 86_400)
+        days = max_age_days * 86_400
+        max_age_seconds = days if max_age_seconds is None else min(days, max_age_seconds)
     if max_age_seconds is not None:
         oldest = as_timestamp(as_of) - F.make_interval(secs=F.lit(max_age_seconds))
         postings = postings.filter(F.col("posted_time") >= oldest)

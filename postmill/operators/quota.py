@@ -133,3 +133,20 @@ def short_position_used(
         .filter((F.col("_before") < cap) & ~F.col("_ended") & ~F.col("_failed"))
         .drop("_ends", "_before", "_ended", "_failed")
     )
+
+
+def failed_page_reached(
+    counts: DataFrame, used: DataFrame, cap: int, failed: Column, run: int = MAX_EMPTY_PAGES
+) -> DataFrame:
+    """(position, page) of positions that ended because a page failed, not by another rule:
+    all pages before it were used, and neither their sum nor their last pages ended the walk."""
+    first = counts.filter(failed).groupBy("position").agg(F.min("page").alias("page"))
+    walked = used.groupBy("position").agg(
+        F.count(F.lit(1)).alias("_pages"), F.sum("n").alias("_sum"), F.max(F.when(F.col("n") > 0, F.col("page"))).alias("_last")
+    )
+    pages, last = F.coalesce("_pages", F.lit(0)), F.coalesce("_last", F.lit(-1))
+    return (
+        first.join(walked, "position", "left")
+        .filter((pages == F.col("page")) & (F.coalesce("_sum", F.lit(0)) < cap) & (pages - 1 - last < run))
+        .select("position", "page")
+    )

@@ -22,10 +22,10 @@ from postmill.operators.filters import quarantine_split, valid_link_filter
 from postmill.operators.greedy import greedy_dedup
 from postmill.operators.joins import ID_KEY, PAIR_KEY, anti_join_prior, identity_keys
 from postmill.operators.language import language_filter
-from postmill.operators.quota import BLOCK, pages_used, short_position_used
+from postmill.operators.quota import BLOCK, failed_page_reached, pages_used, short_position_used
 from postmill.plans.run import Run, quarantine_union
 from postmill.schema import conform
-from postmill.sources.frontier import search_frontier_a
+from postmill.sources.frontier import search_frontier_a, with_search_url_a
 from postmill.sources.page_store import extract_for
 
 # Pages of each position that are parsed up front; a position that goes on is extended.
@@ -49,13 +49,16 @@ def run_board_a(
     `prior` are the postings kept by earlier runs: they block, but do not count towards
     the quotas. `detector` has `detect(column)`; `analyser` maps a description column to
     the analysis struct and is needed when the search uses analysis.
+
+    Quarantined are cards that cannot be read, the search page that ended a position because
+    it is not stored, and cards of used pages whose detail page is not stored.
     """
     if search.use_analysis and analyser is None:
         raise ValueError("an analyser is needed when use_analysis is enabled")
     job = _BoardA(pages, search, as_of, detector, prior, hot_min_rows)
     kept, progress = job.walk(first_pages)
     postings = conform(kept.join(job.details, "job_id"), [*_WHERE, "description"])
-    quarantined = job.quarantined
+    quarantined = quarantine_union(job.quarantined, *job.absent(kept, progress))
     if search.use_analysis:
         gate = enrich_gate(search.desired_language, True, F.col("description_lang"))
         postings, unanswered = analysed_rows(postings, analyser, gate, FIELDS_A)
@@ -76,6 +79,8 @@ class _BoardA:
         self.hot_min_rows = hot_min_rows
         self.details = None
         self.quarantined = None
+        self.lacking = None
+        self.stops = []
 
     def gather(self, first_page: int, last_page: int, from_position: int = 0):
         """(page status, candidate cards) of a range of pages, both written.
@@ -98,36 +103,37 @@ class _BoardA:
         self.quarantined = failing if self.quarantined is None else self.quarantined.unionByName(failing)
 
         titled = usable.withColumn("title_lang", self.detector.detect(F.col("title")))
-        titled = runtime.cut_lineage(language_filter(titled, "title_lang", self.search.language))
+        titled, rows = runtime.cut_and_count(language_filter(titled, "title_lang", self.search.language))
         if self.prior is not None:
-            rows = titled.count()
-            titled = runtime.cut_lineage(anti_join_prior(titled, self.prior, rows, self.hot_min_rows))
+            titled, rows = runtime.cut_and_count(anti_join_prior(titled, self.prior, rows, self.hot_min_rows))
 
-        details = self.read_details(titled.select("job_id").distinct())
-        hot = runtime.hot_keys(titled, "job_id", titled.count(), self.hot_min_rows)
-        candidates = runtime.split_by_membership(
-            titled, details.select("job_id"), "job_id", hot, keep_members=True
-        )
+        details, lacking = self.read_details(titled.select("job_id").distinct())
+        hot = runtime.hot_keys(titled, "job_id", rows, self.hot_min_rows)
         order = F.shiftleft(F.col("page").cast("long"), 31) + F.col("card")
-        candidates = candidates.withColumns({**identity_keys(), "_order": order})
+        keyed = titled.withColumns({**identity_keys(), "_order": order})
+        candidates = runtime.split_by_membership(keyed, details.select("job_id"), "job_id", hot, keep_members=True)
+        without = runtime.split_by_membership(keyed, lacking, "job_id", hot, keep_members=True)
+        self.lacking = without if self.lacking is None else self.lacking.unionByName(without)
         return status, runtime.written_table(candidates, "position_no")
 
-    def read_details(self, wanted: DataFrame) -> DataFrame:
-        """Detail fields in the desired language, one row per id; html stays where it is."""
+    def read_details(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(detail fields in the desired language, one row per id; ids without a stored page);
+        html stays where it is."""
         prefix = fixed.BOARD_A_DETAIL_URL
         stored = self.pages.filter(F.startswith("url", F.lit(prefix))).select(
             F.substring("url", len(prefix) + 1, 2**31 - 1).alias("job_id"), "html"
         )
         wanted = runtime.cut_lineage(wanted)
-        details = extract_for(wanted, stored, "job_id", detail_fields)
-        details = details.withColumn("description_lang", self.detector.detect(F.col("description")))
-        details = runtime.cut_lineage(language_filter(details, "description_lang", self.search.language))
+        read = extract_for(wanted, stored, "job_id", detail_fields)
+        read = runtime.cut_lineage(read.withColumn("description_lang", self.detector.detect(F.col("description"))))
+        lacking = runtime.cut_lineage(wanted.join(read.select("job_id"), "job_id", "left_anti"))
+        details = language_filter(read, "description_lang", self.search.language)
         if self.details is None:
             self.details = details
         else:
             fresh = details.join(self.details.select("job_id"), "job_id", "left_anti")
             self.details = self.details.unionByName(runtime.cut_lineage(fresh))
-        return details
+        return details, lacking
 
     def walk(self, first_pages: int):
         """Positions in order: kept cards and the progress table."""
@@ -141,22 +147,40 @@ class _BoardA:
             own = F.col("position_no") == position_no
             while True:
                 room = search.max_jobs - total
-                new, taken = self.position(status.filter(own), candidates.filter(own), kept, room, last)
-                if taken.count() < last:
+                new, added, taken, pages, stop = self.position(status.filter(own), candidates.filter(own), kept, room, last)
+                if pages < last:
                     break
                 # No rule has stopped this position yet: go further, for later ones as well.
                 more_status, more_candidates = self.gather(last, 2 * last - 1, position_no)
                 status = status.unionByName(more_status)
                 candidates = candidates.unionByName(more_candidates)
                 last *= 2
-            total += new.count()
+            total += added
             kept.append(new)
             used.append(taken)
+            self.stops.append(stop)
         progress = _union(used, status.select("position_no", "position", "page", F.lit(0).alias("n")))
         return _union(kept, candidates), metrics.progress_metrics(progress, "position_no")
 
+    def absent(self, kept: DataFrame, progress: DataFrame) -> list[DataFrame]:
+        """Pages that the walk asked for and that are not stored, with a reason: search pages,
+        and detail pages of cards that no posting kept before them made superfluous."""
+        tables = []
+        if self.stops:
+            stops = with_search_url_a(_union(self.stops, self.stops[0]), self.search)
+            tables.append(stops.withColumn("reason", F.lit("no search page")))
+        if self.lacking is not None:
+            place = F.struct("position_no", "page", "card")
+            first = kept.groupBy(PAIR_KEY).agg(F.min(place).alias("_first"))
+            cards = self.lacking.join(progress.select("position_no", "page"), ["position_no", "page"], "left_semi")
+            asked = cards.join(first, PAIR_KEY, "left").filter(F.col("_first").isNull() | (place < F.col("_first")))
+            told = asked.select(*_WHERE, "title", "company", "url", "job_id", F.lit("no detail page").alias("reason"))
+            tables.append(runtime.cut_lineage(told))
+        return tables
+
     def position(self, status: DataFrame, cards: DataFrame, kept: list[DataFrame], room: int, pages: int):
-        """(new cards, pages used) of a position with this many gathered pages."""
+        """(new cards, their number, pages used, their number, the page whose failure ended the
+        position) of a position with this many gathered pages."""
         if kept:
             cards = runtime.cut_lineage(
                 anti_join_prior(cards, _union(kept, cards), cards.count(), self.hot_min_rows)
@@ -170,9 +194,11 @@ class _BoardA:
             used = short_position_used(counts, min(cap, room), failed)
         else:
             used = pages_used(counts, "position_no", cap, room, failed)
-        used = runtime.cut_lineage(used.select("position_no", "position", "page", "n"))
-        new = runtime.cut_lineage(fresh.join(used.select("page"), "page", "left_semi"))
-        return new, used
+        used, n_used = runtime.cut_and_count(used.select("position_no", "position", "page", "n"))
+        new, n_new = runtime.cut_and_count(fresh.join(used.select("page"), "page", "left_semi"))
+        stop = failed_page_reached(counts, used, min(cap, room), failed)
+        stop = runtime.cut_lineage(counts.join(stop, ["position", "page"], "left_semi").select("position_no", "position", "page"))
+        return new, n_new, used, n_used, stop
 
 
 def _union(tables: list[DataFrame], otherwise: DataFrame) -> DataFrame:

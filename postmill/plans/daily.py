@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from datetime import datetime
 
@@ -21,6 +22,7 @@ from postmill.plans.board_a import run_board_a
 from postmill.plans.run import Run, quarantine_union
 from postmill.sources.report_sink import report_sink
 from postmill.sources.snapshot import keep_quarantined, snapshot_read, snapshot_write
+from postmill.sources.snapshot_log import SnapshotLog
 
 
 def run_and_save(
@@ -32,15 +34,25 @@ def run_and_save(
     report_path: str,
     analyser=None,
     layout: str = "lines",
+    run_id: str | None = None,
 ) -> Run:
     """Load the snapshot, run board A, save everything kept and write the report.
 
-    Records of the snapshot that cannot be read move to `<snapshot_path>.quarantine`
-    before the snapshot is replaced; the run gives back all that are there.
+    With layout "log" the snapshot is a `SnapshotLog`, to which the run adds its postings.
+    The other layouts are replaced whole: records that cannot be read move to
+    `<snapshot_path>.quarantine` first, and the run gives back all that are there. A run
+    that is repeated after a break under its `run_id` adds nothing twice.
     """
-    spark = pages.sparkSession
+    spark, run_id = pages.sparkSession, run_id or uuid.uuid4().hex
+    if layout == "log":
+        log = SnapshotLog(spark, snapshot_path)
+        prior = log.read()
+        run = run_board_a(pages, search, as_of, detector, prior, analyser)
+        log.append(run.postings.select(prior.columns), run_id)
+        write_report(log.read(), report_path)
+        return run
     prior, failing = snapshot_read(spark, snapshot_path, layout)
-    unreadable = keep_quarantined(failing, snapshot_path)
+    unreadable = keep_quarantined(failing, snapshot_path, run_id)
     run = run_board_a(pages, search, as_of, detector, prior, analyser)
     everything = boards_union(prior, run.postings.select(prior.columns))
     snapshot_write(everything, snapshot_path, layout)

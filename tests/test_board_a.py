@@ -51,8 +51,8 @@ def make_store(seed, positions=3, pages=14, cards=5):
 
 
 def crawl(search, search_pages, details, prior):
-    """What a sequential crawl keeps, in order."""
-    kept, progress, total = list(prior), [], 0
+    """What a sequential crawl keeps, in order, and which pages it asked for in vain."""
+    kept, progress, absent, total = list(prior), [], set(), 0
 
     def same(a, b):
         pair = lambda x: (x["title"].strip().lower(), x["company"].strip().lower())
@@ -64,15 +64,20 @@ def crawl(search, search_pages, details, prior):
         own, empty, page = 0, 0, 0
         while own < search.max_jobs_per_position and total < search.max_jobs:
             if (position, page) not in search_pages:
+                absent.add((position, page, None))
                 break
             new = 0
             for n, card in enumerate(search_pages[position, page]):
                 detail = details.get(card["job_id"])
                 if (
                     not card["url"] or any(same(card, k) for k in kept) or card["age"] == "today"
-                    or card["title_lang"] != "en" or detail is None or detail["lang"] != "en"
+                    or card["title_lang"] != "en"
                 ):
                     continue
+                if detail is None:
+                    absent.add((position, page, n))
+                if detail is None or detail["lang"] != "en":
+                    continue
                 kept.append({**card, "where": (position, page, n)})
                 new += 1
             own, total = own + new, total + new
@@ -81,7 +86,7 @@ def crawl(search, search_pages, details, prior):
             if empty == 5:
                 break
             page += 1
-    return kept[len(prior):], progress
+    return kept[len(prior):], progress, absent
 
 
 @pytest.mark.parametrize(
@@ -101,7 +106,7 @@ def test_run_equals_crawl(spark, seed, caps, first_pages):
         pages, search, AS_OF, StopWordDetector(), prior_table, rule_analyser, first_pages, hot_min_rows=1 if seed else 10**6
     )
 
-    expected, progress = crawl(search, search_pages, details, prior)
+    expected, progress, absent = crawl(search, search_pages, details, prior)
     rows = run.postings.orderBy("position_no", "page", "card").collect()
     assert [(r.position_no, r.page, r.card) for r in rows] == [e["where"] for e in expected]
     assert [(r.job_id, r.title, r.company) for r in rows] == [(e["job_id"], e["title"], e["company"]) for e in expected]
@@ -119,7 +124,11 @@ def test_run_equals_crawl(spark, seed, caps, first_pages):
 
     table = run.progress.orderBy("position_no", "page").collect()
     assert [(r.position_no, r.page, r.n, r.position_total, r.run_total) for r in table] == progress
-    assert {r.age for r in run.quarantined.select("age").collect()} == {"today"}
+    told = run.quarantined.select("position_no", "page", "card", "age", "reason", "url").collect()
+    assert {r.age for r in told if r.reason == "age without a number"} == {"today"}
+    vain = [(r.position_no, r.page, r.card) for r in told if r.reason in ("no search page", "no detail page")]
+    assert set(vain) == absent and len(vain) == len(absent) and all(r.url for r in told)
+    assert {r.reason for r in told if r.card is None} == {"no search page"}
 
 
 def test_no_language_keeps_nothing(spark):
