@@ -9,7 +9,7 @@ from postmill import fixed_values as fixed
 
 def _known(name: str, codes: dict, what: str) -> None:
     if name not in codes:
-        raise ValueError(f"Invalid {what}. Must be one of: {list(codes)}")
+        raise ValueError(f"unknown {what} {name!r}; known are {', '.join(codes)}")
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,7 @@ class _Search:
 
     def __post_init__(self):
         if self.use_analysis and not self.desired_language:
-            raise ValueError("desired_language must be set when use_analysis is enabled")
+            raise ValueError("analysis runs on postings of one language, so use_analysis needs a desired_language")
 
     @property
     def phrases(self) -> list[str]:

@@ -24,6 +24,9 @@ _NON_TEXT = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<script\b.*?(?:</script\s*>|\z)"
     r"|<style\b.*?(?:</style\s*>|\z)"
+    r"|<template(?=[\s/>]).*?(?:</template\s*>|\z)"
+    r"|<rt(?=[\s/>]).*?(?:</rt\s*>|\z)"
+    r"|<rp(?=[\s/>]).*?(?:</rp\s*>|\z)"
     rf"|{_TAG}"
 )
 

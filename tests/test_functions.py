@@ -32,6 +32,7 @@ HTML_ROWS = [
     ("a&nbsp;&nbsp;b\x1cc d", "a b c d"),
     ("<STYLE>p{}</STYLE>x<style>open", "x"),
     ("&#0; &#x110000;", "� �"),
+    ("a<template><p>no</p></template>b <ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby> <rtl>x</rtl>", "a b 漢 x"),
 ]
 
 

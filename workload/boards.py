@@ -10,6 +10,7 @@ from postmill.operators import cards, embedded
 from postmill.operators.greedy import greedy_dedup
 from postmill.operators.joins import ID_KEY, PAIR_KEY, identity_keys
 from postmill.operators.language import language_filter
+from postmill.operators.metrics import token_accounting
 from postmill.operators.report import report_projection, report_sort
 from postmill.plans.board_a import run_board_a
 from postmill.plans.board_b import run_board_b
@@ -114,7 +115,7 @@ _SQL_DETAILS = f"""SELECT number, position AS industries, description, {sql_stop
     FROM (SELECT *, {sql_stop_word_scores('description')} FROM (
         SELECT number, arg_min(position, page_id) AS position,
             {sql_collapse(sql_decode(sql_drop_markup('arg_min(article, page_id)', '')))} AS description
-        FROM fields GROUP BY number))"""
+        FROM fields GROUP BY number"""
 
 
 def _sql_position(k: int, position: str) -> str:
@@ -140,37 +141,51 @@ def _sql_position(k: int, position: str) -> str:
         FROM (SELECT unnest(range(0, 1 + (SELECT max(page) + 1 FROM fields))) AS page) g
         LEFT JOIN (SELECT DISTINCT page FROM fields WHERE position = '{position}') s ON s.page = g.page
         LEFT JOIN (SELECT page, count(*) AS n FROM fresh_{k} GROUP BY page) f ON f.page = g.page),
-    used_{k} AS (SELECT page, n FROM (
+    asked_{k} AS (SELECT * FROM (
             SELECT *, coalesce(max(ends) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended
-            FROM (SELECT page, n,
+            FROM (SELECT page, n, failed AS fails,
                 coalesce(sum(n) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
                 bool_or(failed) OVER (ORDER BY page) AS failed,
+                coalesce(bool_or(failed) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS failed_before,
                 sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) OVER (ORDER BY page ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AS ends
                 FROM counts_{k}))
-        WHERE NOT failed AND NOT ended AND before < least({_CAPS[0]}, {room})),
+        WHERE NOT failed_before AND NOT ended AND before < least({_CAPS[0]}, {room})),
+    used_{k} AS (SELECT page, n FROM asked_{k} WHERE NOT fails),
     new_{k} AS (SELECT * FROM fresh_{k} WHERE page IN (SELECT page FROM used_{k}))"""
 
 
-_SQL_RUN_A = (
-    f"""WITH RECURSIVE fields AS ({_SQL_FIELDS}), titled AS ({_SQL_TITLED}), details AS ({_SQL_DETAILS}),
-    candidates AS (
-        SELECT t.*, d.industries, d.description_lang, page * 1000 + card AS o, lower(title) || chr(1) || lower(host) AS pair
-        FROM titled t JOIN details d ON d.number = t.number
-        WHERE title_lang = 'en' AND description_lang = 'en' AND age <> 'yesterday')"""
-    + "".join(_sql_position(k, p) for k, p in enumerate(POSITIONS))
-)
+def _sql_run_a(stored: str = "true", new: str = "true") -> str:
+    """The run as common table expressions; `stored` are numbers with a detail page, `new`
+    cards that no earlier run kept."""
+    return (
+        f"""WITH RECURSIVE fields AS ({_SQL_FIELDS}),
+        titled AS (SELECT *, lower(title) || chr(1) || lower(host) AS pair FROM ({_SQL_TITLED})),
+        details AS ({_SQL_DETAILS} HAVING {stored}))),
+        candidates AS (
+            SELECT t.*, d.industries, d.description_lang, page * 1000 + card AS o
+            FROM titled t JOIN details d ON d.number = t.number
+            WHERE title_lang = 'en' AND description_lang = 'en' AND age <> 'yesterday' AND {new})"""
+        + "".join(_sql_position(k, p) for k, p in enumerate(POSITIONS))
+    )
+
+
+_SQL_RUN_A = _sql_run_a()
 _SQL_NEW = " UNION ALL ".join(f"SELECT * FROM new_{k}" for k in range(len(POSITIONS)))
 _SQL_USED = " UNION ALL ".join(
     f"SELECT '{p}' AS position, page, n, {k} AS position_no FROM used_{k}" for k, p in enumerate(POSITIONS)
 )
 
 
-def _run_a(t):
+def _run_a(t, lacking=False, prior=None, analyser=None):
     search = BoardASearch(
-        positions=",".join(POSITIONS), desired_language="en", max_jobs_per_position=_CAPS[0], max_jobs=_CAPS[1]
+        positions=",".join(POSITIONS), desired_language="en", max_jobs_per_position=_CAPS[0], max_jobs=_CAPS[1],
+        use_analysis=analyser is not None,
     )
-    pages = search_pages_a(t, search).select("url", "html").unionByName(detail_pages_a(t))
-    return run_board_a(pages, search, AS_OF, StopWordDetector())
+    details = detail_pages_a(t)
+    if lacking:
+        details = details.filter(F.regexp_extract("url", r"(\d+)$", 1).cast("long") % 4 != 0)
+    pages = search_pages_a(t, search).select("url", "html").unionByName(details)
+    return run_board_a(pages, search, AS_OF, StopWordDetector(), prior, analyser)
 
 
 @query(
@@ -196,6 +211,73 @@ def board_a_progress(t):
     return _run_a(t).progress.drop("position_no")
 
 
+_SQL_KEPT = " UNION ALL ".join(f"SELECT {k} AS position_no, * FROM new_{k}" for k in range(len(POSITIONS)))
+_SQL_STOPS = " UNION ALL ".join(
+    f"SELECT '{p}' AS position, CAST(page AS INTEGER) AS page FROM asked_{k} WHERE fails" for k, p in enumerate(POSITIONS)
+)
+
+
+@query(
+    f"""{_sql_run_a("CAST(number AS BIGINT) % 4 <> 0")},
+    kept AS ({_SQL_KEPT}), walked AS ({_SQL_USED})
+    SELECT position, page, CAST(NULL AS INTEGER) AS card, CAST(NULL AS VARCHAR) AS job_id, 'no search page' AS reason
+    FROM ({_SQL_STOPS})
+    UNION ALL
+    SELECT t.position, t.page, t.card, t.number, 'no detail page' FROM titled t JOIN walked w ON w.position = t.position AND w.page = t.page
+    WHERE t.title_lang = 'en' AND t.age <> 'yesterday' AND CAST(t.number AS BIGINT) % 4 = 0
+      AND NOT EXISTS (SELECT 1 FROM kept WHERE kept.pair = t.pair
+                      AND (kept.position_no, kept.page, kept.card) < (w.position_no, t.page, t.card))"""
+)
+def board_a_quarantine(t):
+    """A quarter of the detail pages is not stored."""
+    told = _run_a(t, lacking=True).quarantined.filter(F.col("reason").isin("no search page", "no detail page"))
+    return told.select("position", "page", "card", "job_id", "reason")
+
+
+# Postings of every seventh page were kept before. An analyser that reads plain facts off the
+# description stands for a model.
+_PRIOR = "page_id % 7 = 0"
+
+
+def _facts(text):
+    words = F.size(F.split(text, " "))
+    return F.struct(
+        F.when(words % 2 == 0, "even").otherwise("odd").alias("required_studies"),
+        F.array(F.substring(text, 1, 3), F.substring(text, -3, 3)).alias("technologies_required"),
+        (words % 11).cast("int").alias("experience_years_needed"), F.length(text).alias("salary_offered"), words.alias("token_cost"),
+    )
+
+
+_SQL_WORDS = "CAST(len(string_split(d.description, ' ')) AS INTEGER)"
+_SQL_ANALYSED = f"""{_sql_run_a(new=f"t.number NOT IN (SELECT number FROM fields WHERE {_PRIOR}) AND t.pair NOT IN (SELECT pair FROM titled WHERE {_PRIOR})")},
+    analysed AS (SELECT n.number AS job_id, {_SQL_WORDS} AS words, d.description FROM ({_SQL_NEW}) n JOIN details d USING (number))"""
+
+
+def _analysed(t):
+    earlier = posting_fields(t).filter("page_id % 7 = 0")
+    prior = earlier.select(
+        markup.element_text(F.col("h1")).alias("title"), F.col("host").alias("company"), F.col("number").alias("job_id")
+    )
+    return _run_a(t, prior=prior, analyser=_facts).postings
+
+
+@query(
+    f"""{_SQL_ANALYSED} SELECT job_id, CASE WHEN words % 2 = 0 THEN 'even' ELSE 'odd' END AS required_studies,
+    substr(description, 1, 3) || '|' || right(description, 3) AS technologies, words % 11 AS experience_years_needed,
+    CAST(length(description) AS INTEGER) AS salary_offered, words AS token_cost FROM analysed"""
+)
+def board_a_analysed(t):
+    return _analysed(t).select(
+        "job_id", "required_studies", F.array_join("technologies_required", "|").alias("technologies"),
+        "experience_years_needed", "salary_offered", "token_cost",
+    )
+
+
+@query(f"{_SQL_ANALYSED} SELECT '{fixed.SOURCE_A}' AS source, CAST(sum(words) AS BIGINT) AS used_tokens FROM analysed HAVING count(*) > 0")
+def board_a_tokens(t):
+    return token_accounting(_analysed(t))
+
+
 # Board B: fifteen neighbouring events are the results of one search page. The title of
 # some results holds '};', which cuts the document of their page short.
 _B_TITLE = "event_type || ' ' || props || CASE WHEN event_id % 500 = 77 THEN ';' ELSE '' END"

@@ -43,6 +43,19 @@ def greedy_dedup_lineitem(t):
     return greedy_dedup(edges, ["o"], "i", "p")
 
 
+@query(
+    """SELECT event_id AS o, (event_id + 1) // 2 AS i, event_id // 2 AS p FROM (
+        SELECT event_id, row_number() OVER (PARTITION BY island ORDER BY event_id) AS place
+        FROM (SELECT event_id, event_id - row_number() OVER (ORDER BY event_id) AS island FROM (SELECT DISTINCT event_id FROM events)))
+    WHERE place % 2 = 1"""
+)
+def greedy_dedup_chain(t):
+    """Neighbouring events share one key or the other, so all events are one chain of conflicts."""
+    key = F.col("event_id")
+    edges = t.events.select(key.alias("o"), F.floor((key + 1) / 2).alias("i"), F.floor(key / 2).alias("p")).distinct()
+    return greedy_dedup(edges, ["o"], "i", "p")
+
+
 _EVENTS = "SELECT event_id AS o, user_id AS i, event_type || props AS p FROM events"
 
 

@@ -9,7 +9,7 @@ from postmill.operators.filters import valid_link_filter
 from postmill.operators.joins import anti_join_prior
 from postmill.operators.joins import card_detail_join as join_details
 from postmill.sources import frontier, page_store
-from workload.registry import query
+from workload.registry import query, scratch
 
 SQL_ENCODE = "replace(replace(url_encode({}), '%20', '+'), '%7E', '~')"
 SEARCH = BoardASearch(location="New York", publish_timespan="Month", easy_apply=False)
@@ -122,6 +122,23 @@ def frontier_fetch(t):
     return fetched.select("url", F.length("html").alias("n_chars"))
 
 
+@query(
+    f"""SELECT f.url, CAST(length(p.html) AS INTEGER) AS n_chars FROM {_FRONTIER} f LEFT JOIN pages p USING (url)"""
+)
+def frontier_fetch_stored(t):
+    """A frontier too large to be sent, against pages laid out by address."""
+    path = scratch(t.spark)
+    page_store.store_pages(t.pages, path, 16)
+    fetched = page_store.frontier_fetch(_frontier(t), page_store.open_store(t.spark, path, 16), limit_bytes=0)
+    return fetched.select("url", F.length("html").alias("n_chars"))
+
+
+@query(f"SELECT url FROM {_FRONTIER} f WHERE url NOT IN (SELECT url FROM pages)")
+def missing_pages_filtered(t):
+    """The same for a frontier too large to be sent: its Bloom filter goes to the pages."""
+    return page_store.missing_pages(_frontier(t), t.pages, limit_bytes=0)
+
+
 @query(f"SELECT url FROM {_FRONTIER} f WHERE url NOT IN (SELECT url FROM pages)")
 def missing_pages(t):
     return page_store.missing_pages(_frontier(t), t.pages)

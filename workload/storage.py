@@ -6,6 +6,7 @@ from postmill.fixed_values import SOURCE_A
 from postmill.plans.daily import write_report
 from postmill.sources.snapshot import snapshot_read as read
 from postmill.sources.snapshot import snapshot_write as write
+from postmill.sources.snapshot_log import SnapshotLog
 from workload.registry import SQL_MILLIS, millis, query, scratch, utc
 from workload.reports import postings
 
@@ -95,3 +96,44 @@ def report_sink(t):
     rows = rows.withColumns({c: utc(c) for c in ("posted_time", "date_analyzed")})
     write_report(rows, folder)
     return t.spark.read.option("header", True).csv(folder).select("Job Id", "Posted Time", "Url", "Technologies Required")
+
+
+_SQL_STORED = f"""SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderpriority || ' "}}{{[' AS title,
+    {SQL_MILLIS.format('o_orderdate')} AS posted_time, o_orderstatus || ', \\"}}' AS technologies,
+    CAST(o_custkey AS INTEGER) AS years FROM orders"""
+
+
+def _stored(t):
+    """Orders as postings, with texts that look like the ends of records."""
+    return t.orders.select(
+        F.col("o_orderkey").cast("string").alias("job_id"), F.concat("o_orderpriority", F.lit(' "}{[')).alias("title"),
+        utc("o_orderdate").alias("posted_time"), F.array("o_orderstatus", F.lit('\\"}')).alias("technologies_required"),
+        F.col("o_custkey").alias("experience_years_needed"),
+    )
+
+
+def _shown(postings):
+    return postings.select(
+        "job_id", "title", millis(F.col("posted_time")).alias("posted_time"),
+        F.array_join("technologies_required", ", ").alias("technologies"), F.col("experience_years_needed").alias("years"),
+    )
+
+
+@query(_SQL_STORED)
+def snapshot_array(t):
+    """JSON arrays, read in as many parts as their files have splits."""
+    folder = scratch(t.spark)
+    write(_stored(t), folder, "array")
+    return _shown(read(t.spark, folder, "array")[0])
+
+
+@query(_SQL_STORED)
+def snapshot_log(t):
+    """Orders appended in three runs, one of them twice under its token, and merged at the end."""
+    log = SnapshotLog(t.spark, scratch(t.spark))
+    for run in (0, 1, 1, 2):
+        log.append(_stored(t).filter(F.pmod(F.col("job_id").cast("long"), F.lit(3)) == run), f"run {run}")
+        if run == 0:
+            log.compact()
+    log.compact(but_last=1)
+    return _shown(log.read())
