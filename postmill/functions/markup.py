@@ -190,9 +190,25 @@ def first_inner(markup: Column, attribute: str, name: str = r"[a-zA-Z][a-zA-Z0-9
     return bind(F.regexp_extract(markup, rf"(?s){opening}.*\z", 0), inside)
 
 
+def first_element_text(markup: Column, attribute: str) -> Column:
+    """Text of the first element with this attribute; null when there is none.
+
+    Mostly it holds text alone, up to its close tag, which one pattern reads; elements within
+    it, and whatever else may stand there, take the general way.
+    """
+    plain = rf"(?s){open_tag(attribute)}([^<]*+)(</\1\s*+>)?"
+
+    def read(markup: Column) -> Column:
+        closed = F.regexp_extract(markup, plain, 3) != ""
+        text = strip(decode_entities(F.regexp_extract(markup, plain, 2)))
+        return F.when(closed, text).otherwise(element_text(first_inner(markup, attribute)))
+
+    return bind(markup, read)
+
+
 def first_text(markup: Column, class_part: str) -> Column:
     """Text of the first element whose class contains `class_part`, else ''."""
-    return F.coalesce(element_text(first_inner(markup, class_contains(class_part))), F.lit(""))
+    return F.coalesce(first_element_text(markup, class_contains(class_part)), F.lit(""))
 
 
 def first_href(markup: Column, class_part: str) -> Column:

@@ -70,7 +70,7 @@ def criteria_items(html: Column) -> Column:
     items = F.split(F.coalesce(inner, F.lit("")), r"(?i)(?=<li[\s>])")
 
     def read(item: Column, name: str) -> Column:
-        return markup.element_text(markup.first_inner(item, markup.class_token(name)))
+        return markup.first_element_text(item, markup.class_token(name))
 
     pairs = F.transform(
         items,

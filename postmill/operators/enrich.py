@@ -38,8 +38,9 @@ def enrich(
 ) -> DataFrame:
     """Analyse the rows behind the gate and merge; adds `token_cost`.
 
-    `analyser` maps a description column to the analysis struct. Python UDFs run for every
-    row of their input whatever guards them, and a function may hide one, so the rows
+    `analyser` maps a description column to the analysis struct, or has `analyse_rows`, from
+    (rows, description, output) to rows with one more column. Python UDFs run for every row of
+    their input whatever guards them, and a function may hide one, so the rows
     behind the gate are split off first; pass a checkpointed table. `answered` names a
     column that is false where an analysis was asked for and none came back.
     """
@@ -49,7 +50,11 @@ def enrich(
     unasked = [] if answered is None else [F.lit(True).alias(answered)]
 
     gated = df.withColumn("_gate", F.coalesce(gate, F.lit(False)))
-    analysed = gated.filter("_gate").withColumn("_analysis", analyser(F.col(description)))
+    asked = gated.filter("_gate")
+    if hasattr(analyser, "analyse_rows"):
+        analysed = analyser.analyse_rows(asked, description, "_analysis")
+    else:
+        analysed = asked.withColumn("_analysis", analyser(F.col(description)))
     behind = enrich_merge(analysed, F.col("_analysis"), fields).select(*columns, cost, *usable)
     others = gated.filter("not _gate").select(*columns, F.lit(0).alias("token_cost"), *unasked)
     return behind.unionByName(others)

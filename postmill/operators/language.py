@@ -62,6 +62,15 @@ def _weight(share: Column) -> Column:
     return F.round(F.log(share) * SCALE).cast("int")
 
 
+def with_language(df: DataFrame, detector, text: str, output: str) -> DataFrame:
+    """The rows with the language of a text. A detector either has `detect`, from column to
+    column, or `detect_rows`, from (rows, text, output) to rows with one more column, which can
+    join, repartition or call whatever it likes."""
+    if hasattr(detector, "detect_rows"):
+        return detector.detect_rows(df, text, output)
+    return df.withColumn(output, detector.detect(F.col(text)))
+
+
 def language_filter(df: DataFrame, column: str, desired: str) -> DataFrame:
     """Keep rows in the desired language; an empty choice keeps nothing."""
     return df.filter(F.lower(F.col(column)) == F.lit(desired.lower()))

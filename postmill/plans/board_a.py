@@ -21,7 +21,7 @@ from postmill.operators.enrich import FIELDS_A, analysed_rows, enrich_gate
 from postmill.operators.filters import quarantine_split, valid_link_filter
 from postmill.operators.greedy import greedy_dedup
 from postmill.operators.joins import ID_KEY, PAIR_KEY, anti_join_prior, identity_keys
-from postmill.operators.language import language_filter
+from postmill.operators.language import language_filter, with_language
 from postmill.operators.quota import BLOCK, failed_page_reached, pages_used, short_position_used
 from postmill.plans.run import Run, quarantine_union
 from postmill.schema import conform
@@ -102,7 +102,7 @@ class _BoardA:
         usable, failing = quarantine_split(cards, {"age without a number": F.col("posted_time").isNotNull()})
         self.quarantined = failing if self.quarantined is None else self.quarantined.unionByName(failing)
 
-        titled = usable.withColumn("title_lang", self.detector.detect(F.col("title")))
+        titled = with_language(usable, self.detector, "title", "title_lang")
         titled, rows = runtime.cut_and_count(language_filter(titled, "title_lang", self.search.language))
         if self.prior is not None:
             titled, rows = runtime.cut_and_count(anti_join_prior(titled, self.prior, rows, self.hot_min_rows))
@@ -125,7 +125,7 @@ class _BoardA:
         )
         wanted = runtime.cut_lineage(wanted)
         read = extract_for(wanted, stored, "job_id", detail_fields)
-        read = runtime.cut_lineage(read.withColumn("description_lang", self.detector.detect(F.col("description"))))
+        read = runtime.cut_lineage(with_language(read, self.detector, "description", "description_lang"))
         lacking = runtime.cut_lineage(wanted.join(read.select("job_id"), "job_id", "left_anti"))
         details = language_filter(read, "description_lang", self.search.language)
         if self.details is None:

@@ -13,6 +13,7 @@ from postmill.functions.enrichment import rule_analyser
 from postmill.operators.embedded import embedded_detail, embedded_results, page_results, posting_from_json
 from postmill.operators.enrich import FIELDS_B, analysed_rows, enrich_gate
 from postmill.operators.filters import quarantine_split
+from postmill.operators.language import with_language
 from postmill.plans.run import Run
 from postmill.schema import conform
 from postmill.sources.frontier import search_frontier_b, with_search_url_b
@@ -44,13 +45,13 @@ def run_board_b(
     results = results.drop("url")
     postings = posting_from_json(results, as_of, search.base_url)
     usable = postings.filter(F.col("reason").isNull()).drop("reason")
-    usable = runtime.cut_lineage(usable.withColumn("title_lang", detector.detect(F.col("title"))))
+    usable = runtime.cut_lineage(with_language(usable, detector, "title", "title_lang"))
 
     wanted = runtime.cut_lineage(usable.select("url").distinct())
     described = pages.filter(F.startswith("url", F.lit(f"{search.base_url}/viewjob?")))
     details = runtime.cut_lineage(extract_for(wanted, described, "url", _detail_text))
     readable, no_text = quarantine_split(details, {"no readable detail": F.col("description").isNotNull()})
-    readable = readable.withColumn("description_lang", detector.detect(F.col("description")))
+    readable = with_language(readable, detector, "description", "description_lang")
     hot = runtime.hot_keys(usable, "url", usable.count(), hot_min_rows)
     joined = runtime.skew_join(usable, readable, "url", hot)
 

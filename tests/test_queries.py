@@ -16,7 +16,9 @@ def test_query(spark, name):
     df = entry.queries()[name](spark, SF_DIR)
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        df.count()
+        # A count would let Spark leave out the columns that Python makes.
+        rows = df.collect()
+        assert rows and len(set(df.columns)) == len(df.columns)
         return
     message, _ = difference(connect(SF_DIR), df, sql)
     assert message is None
