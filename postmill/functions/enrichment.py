@@ -22,8 +22,6 @@ TECHNOLOGIES = [
     "PyTorch", "R", "React", "Redis", "Ruby", "Rust", "Scala", "Spark", "Spring", "SQL", "Swift",
     "TensorFlow", "Terraform", "TypeScript", "Vue",
 ]
-# A dictionary lives inside the plan as a set, so its size is bounded.
-MAX_TECHNOLOGIES = 20_000
 
 _YEARS = r"(?i)(?<![\d.,])(\d{1,2})\s*(?:\+|(?:-|–|to)\s*\d{1,2})?\s*(?:years?|yrs?)\b"
 _SALARY = (
@@ -113,14 +111,18 @@ def annual_salary(description: Column) -> Column:
     return F.coalesce(F.when(amount <= 2_147_483_647, amount), F.lit(0)).cast("int")
 
 
+def words_of(text: Column) -> Column:
+    """Lower-case words as dictionary names are made of: 'c++', '.net', 'node.js'."""
+    return F.regexp_extract_all(
+        F.lower(text), F.lit(r"(\.?[\p{L}\p{N}](?:[\p{L}\p{N}+#]|\.(?=[\p{L}\p{N}]))*)"), F.lit(1)
+    )
+
+
 def technologies(description: Column, names: list[str] | None = None) -> Column:
-    """Sorted distinct dictionary names found as words."""
+    """Sorted distinct dictionary names found as words. The names are part of the plan; a large
+    dictionary, or one with names of several words, is a table for `technologies_in`."""
     names = TECHNOLOGIES if names is None else names
-    if len(names) > MAX_TECHNOLOGIES:
-        raise ValueError(f"at most {MAX_TECHNOLOGIES} technology names fit in a plan")
-    words = F.regexp_extract_all(
-        F.lower(description), F.lit(r"(\.?[\p{L}\p{N}](?:[\p{L}\p{N}+#]|\.(?=[\p{L}\p{N}]))*)"), F.lit(1)
-    )
+    words = words_of(description)
     spelled = F.array(*[F.lit(n) for n in sorted(names)])
     known = F.array_intersect(words, F.array(*[F.lit(n.lower()) for n in names]))
     return bind(known, lambda k: F.filter(spelled, lambda n: F.array_contains(k, F.lower(n))))

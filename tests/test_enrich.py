@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.enrichment import ANALYSIS_TYPE, rule_analyser
 from postmill.operators.enrich import FIELDS_A, FIELDS_B, analysed_rows, enrich, enrich_gate
+from postmill.operators.technologies import technologies_in
 
 
 @pytest.fixture
@@ -67,3 +68,18 @@ def test_postings_without_a_usable_answer(spark):
     good, bad = analysed_rows(rows, analyser, enrich_gate("en", True, F.col("description_lang")), FIELDS_A)
     assert sorted(r.job_id for r in good.collect()) == ["1", "3"]
     assert [(r.job_id, r.reason) for r in bad.collect()] == [("2", "no usable analysis")]
+
+
+@pytest.mark.parametrize("limit_bytes", [10**9, 0])
+def test_a_dictionary_of_any_size_is_a_table(spark, limit_bytes):
+    many = [(f"Tool{i} Kit",) for i in range(2000)] + [(f"Lib{i}",) for i in range(2000)]
+    names = spark.createDataFrame([("Apache Spark",), ("spark",), ("C++",), (".NET Core",), ("C",), ("++",), (None,), *many], "name string")
+    rows = [
+        (1, "We use apache  SPARK, c++ and .net core."), (2, "Tool7 kit, lib9; tool8, kit"), (3, None), (4, ""), (5, "nothing here"),
+        (5, "nothing here"), (6, "spark " * 5000 + "apache"),
+    ]
+    df = spark.createDataFrame(rows, "id int, description string").withColumn("technologies_required", F.lit("old"))
+    got = technologies_in(df, names, limit_bytes=limit_bytes).collect()
+    want = {1: [".NET Core", "Apache Spark", "C++", "spark"], 2: ["Lib9", "Tool7 Kit", "Tool8 Kit"], 3: [], 4: [], 5: [], 6: ["spark"]}
+    assert len(got) == 7 and {r.id: r.technologies_required for r in got} == want
+    assert {tuple(r.technologies_required) for r in technologies_in(df, names.limit(0)).collect()} == {()}

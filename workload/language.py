@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from postmill.functions.enrichment import words_of
 from postmill.functions.language import SCALE, STOP_WORDS, ProfileDetector, StopWordDetector
 from postmill.functions.trigrams import BASE, BUCKETS
 from postmill.operators import language as ops
+from postmill.operators.technologies import technologies_in
 from workload.registry import query
 
 _LANGS = sorted(STOP_WORDS)
@@ -118,3 +120,21 @@ def detect_with_confidence(t):
     return t.documents.select("doc_id", found.alias("f")).select(
         "doc_id", F.col("f.lang").alias("detected"), F.round("f.confidence", 6).alias("confidence")
     )
+
+
+_SQL_NAME_WORDS = r"regexp_extract_all(lower(text), '(\.?[\p{L}\p{N}](?:[\p{L}\p{N}+#]|\.[\p{L}\p{N}])*)', 1)"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, {_SQL_NAME_WORDS} AS words FROM documents),
+    names AS (SELECT DISTINCT array_to_string(words[1:2], ' ') AS name FROM d WHERE len(words) > 0),
+    runs AS (SELECT doc_id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS name FROM d)
+    SELECT doc_id, CAST(count(n.name) AS INTEGER) AS n_names, md5(coalesce(string_agg(n.name, '|' ORDER BY n.name), '')) AS found
+    FROM d LEFT JOIN (SELECT DISTINCT r.doc_id, r.name FROM runs r JOIN names USING (name)) n USING (doc_id) GROUP BY doc_id"""
+)
+def technologies_table(t):
+    """The first two words of every document are a dictionary, looked up in all documents."""
+    words = words_of(F.col("text"))
+    names = t.documents.select(F.array_join(F.slice(words, 1, 2), " ").alias("name")).filter("name <> ''").distinct()
+    found = technologies_in(t.documents.select("doc_id", "text"), names, "text", "names")
+    return found.select("doc_id", F.size("names").alias("n_names"), F.md5(F.array_join("names", "|").cast("binary")).alias("found"))
