@@ -17,7 +17,9 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import io
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,13 +32,15 @@ from postmill.llm.common import runs_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Bytes of pieces and ids that a task keeps, and the longest piece it keeps.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 16 << 20
 CACHED_PIECE = 64
 _ENTRY_BYTES = 180
 # The longest pieces that go to a matrix: a row of n bytes takes up to n rounds over n columns,
 # so beyond this a heap of pairs does the same merges in n log n.
 MATRIX_BYTES = 512
-ROUND_BYTES = 1 << 20
+# Bytes of text that a round takes, and cells of a matrix: a worker holds some 40 bytes a cell.
+ROUND_BYTES = 1 << 19
+MATRIX_CELLS = 1 << 18
 _NONE = np.int32(2**31 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 # Below U+0250 the classes of the pattern are these ranges, which the faster built-in
@@ -107,18 +111,23 @@ class Vocabulary:
     """Ranks, the table of pairs and the bytes of each id."""
 
     def __init__(self, ranks_file: bytes, pattern: str):
-        lines = [line.split() for line in ranks_file.splitlines() if line]
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
-        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+        # Workers keep a vocabulary as long as they live, so it is built without large detours.
+        self.ranks: dict[bytes, int] = {}
+        for line in io.BytesIO(ranks_file):
+            if parts := line.split():
+                self.ranks[base64.b64decode(parts[0])] = int(parts[1])
+        self.bytes_of: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
+        left, right, merged = array("i"), array("i"), array("i")
+        for token, rank in self.ranks.items():
+            self.bytes_of[rank] = token
+            for i in range(1, len(token)):
+                one, other = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if one is not None and other is not None:
+                    left.append(one)
+                    right.append(other)
+                    merged.append(rank)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        get = self.ranks.get
-        pairs = [
-            (get(token[:i]), get(token[i:]), rank)
-            for token, rank in self.ranks.items()
-            for i in range(1, len(token))
-            if token[:i] in self.ranks and token[i:] in self.ranks
-        ]
-        self.pairs = PairTable(*(np.array(column, np.int32) for column in zip(*pairs, strict=True)))
+        self.pairs = PairTable(*(np.frombuffer(column, np.int32) for column in (left, right, merged)))
         self.split = splitter(pattern)
         self.cache: dict[str, bytes] = {}
         self.cached = 0
@@ -160,7 +169,7 @@ class Vocabulary:
                 classes.setdefault((len(piece) - 1).bit_length(), []).append(i)
         for bits, members in classes.items():
             width = 1 << bits
-            step = max(1, (1 << 21) // width)
+            step = max(1, MATRIX_CELLS // width)
             for at in range(0, len(members), step):
                 own = members[at : at + step]
                 for i, ids in zip(own, self._merge_rows([pieces[i] for i in own], width), strict=True):
@@ -293,6 +302,7 @@ def code_texts(docs: DataFrame, text: str = "text", output: str = "coded", path:
                 yield pa.StructArray.from_arrays([columns[n] for n in names], names)
         finally:
             own.forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.withColumn(output, code(F.col(text).cast("string")))
 
