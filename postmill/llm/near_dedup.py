@@ -145,6 +145,14 @@ def _set_of(width: int):
     return packed
 
 
+def _shingles_of(width: int):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def shingles(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(x.as_py(), width).view(np.int64) for x in texts], pa.list_(pa.int64()))
+
+    return shingles
+
+
 def _reaches(common, n, m, percent: int):
     """Whether sets of n and m members with so many in common have the similarity."""
     return (100 + percent) * common >= percent * (n + m)
@@ -283,10 +291,11 @@ def _prefix_pairs(wanted: DataFrame, texts: DataFrame, labels: DataFrame, width:
     them: sets that share a shingle within the prefixes that a link would need."""
     side = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     own = texts.join(side, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    sets = own.select("id", _set_of(width)(F.col("text").cast("binary")).alias("packed"))
+    # One Python function a stage: each further one takes a worker more for every running task.
+    sets = own.select("id", _shingles_of(width)(F.col("text").cast("binary")).alias("shingles"))
     single = written(
         _labelled(sets, labels, "id", "of").select(
-            "id", "of", F.floor(F.octet_length("packed") / 8).alias("n"), F.explode(_unpacked("packed")).alias("shingle")
+            "id", "of", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle")
         )
     )
     held = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
