@@ -6,10 +6,14 @@ it is computed in rounds: the rows that come first under both of their keys stay
 sharing a key with them go, and the rest play the next round. (Blelloch, Fineman, Shun:
 "Greedy sequential maximal independent set and matching are parallel on average", 2012.)
 
-Rounds settle most rows at once, but a chain of conflicts takes a round a link. So a few
-rounds are followed by a split of what is left into connected components, which cannot
-influence each other: those of bounded size are walked in order inside a task, many of them
-side by side, and only rows of larger ones play on. A rest of bounded size is walked at once.
+Rounds settle most rows at once, but a chain of conflicts takes a round a link. So where rounds
+settle little, three further steps follow. (1) A row that comes first under one key and second
+under the other stays iff the first row of that other key goes; such links make a forest, which is
+followed to its roots, inside blocks of the order first and then by doubling. (2) What is left is
+split into connected components, which cannot influence each other: those of bounded size are
+walked in order inside a task, many of them side by side. (3) If that settles little as well, the
+rows that come first in the order, which depend on no others, are walked in a task; so every turn
+settles a block of rows whatever the conflicts. A rest of bounded size is walked at once.
 """
 
 from __future__ import annotations
@@ -61,24 +65,24 @@ def greedy_dedup(
     kept: list[DataFrame] = []
     played = 0
     while left > walked_rows:
-        if played == rounds:
-            small, edges, left = _split(edges, walked_rows)
-            kept.append(_walked(small))
-            played = 0
-            continue
+        before = left
         winners = runtime.cut_lineage(_first_on_both_keys(edges))
         kept.append(winners.select(_ORDER))
-        rest = edges
-        for key in (_ID, _PAIR):
-            hot = runtime.hot_keys(edges, key, left, hot_min_rows)
-            if hot is not None and rest is not edges:
-                rest = runtime.cut_lineage(rest)
-            rest = runtime.split_by_membership(rest, winners.select(key), key, hot)
-        before = left
-        edges, left = runtime.cut_and_count(rest)
-        played += 1
+        edges, left = _without_keys(edges, winners, left, hot_min_rows)
         if left == before:
             raise ValueError("the order must be unique and never null")
+        played += 1
+        if played < rounds and before - left >= before // 8:
+            continue
+        played = 0
+        for step in (_chained, _split, _first_block):
+            if left <= walked_rows:
+                break
+            before = left
+            stay, edges, left = step(edges, left, walked_rows, hot_min_rows)
+            kept.append(stay)
+            if left <= before // 2:
+                break
     if left:
         kept.append(_walked(edges.withColumn("_part", F.lit(0).cast("long"))))
     if not kept:
@@ -104,8 +108,103 @@ def _first_on_both_keys(edges: DataFrame) -> DataFrame:
     return by_id.join(by_pair, _ORDER).select(_ORDER, _ID, _PAIR)
 
 
-def _split(edges: DataFrame, walked_rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """(edges of components with at most so many, with `_part`; the others; their number).
+def _without_keys(edges: DataFrame, winners: DataFrame, left: int, hot_min_rows: int) -> tuple[DataFrame, int]:
+    """(the edges that share no key with a winner, their number)."""
+    rest = edges
+    for key in (_ID, _PAIR):
+        hot = runtime.hot_keys(edges, key, left, hot_min_rows)
+        if hot is not None and rest is not edges:
+            rest = runtime.cut_lineage(rest)
+        rest = runtime.split_by_membership(rest, winners.select(key), key, hot)
+    return runtime.cut_and_count(rest)
+
+
+def _with_minima(edges: DataFrame, left: int, hot_min_rows: int, *minima: tuple) -> DataFrame:
+    """The edges with the least orders under their keys: (key, {name: order or null of a row}).
+    Minima are combined before their shuffle."""
+    for key, wanted in minima:
+        least = edges.groupBy(key).agg(*(F.min(c).alias(name) for name, c in wanted.items()))
+        edges = runtime.cut_lineage(runtime.skew_join(edges, least, key, runtime.hot_keys(edges, key, left, hot_min_rows)))
+    return edges
+
+
+def _chained(edges: DataFrame, left: int, walked_rows: int, hot_min_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(orders that stay, the edges still open, their number) by links between rows.
+
+    A row that is first under one key and not under the other takes the other, unless it is
+    taken already; so rows behind it under that key go. If it is the second there, it stays iff
+    the first goes.
+    """
+    own = F.col(_ORDER)
+    flagged = _with_minima(edges, left, hot_min_rows, (_ID, {"_f_id": own}), (_PAIR, {"_f_pair": own}))
+    first_id, first_pair = own == F.col("_f_id"), own == F.col("_f_pair")
+    placed = _with_minima(
+        flagged, left, hot_min_rows,
+        (_ID, {"_second_id": F.when(~first_id, own), "_taken_id": F.when(first_pair & ~first_id, own)}),
+        (_PAIR, {"_second_pair": F.when(~first_pair, own), "_taken_pair": F.when(first_id & ~first_pair, own)}),
+    )
+    to = F.when(first_pair & (own == F.col("_second_id")), F.col("_f_id")).when(
+        first_id & (own == F.col("_second_pair")), F.col("_f_pair")
+    )
+    links = placed.select(own.alias("node"), to.alias("to"), F.lit(True).alias("odd")).filter("to IS NOT NULL")
+    links = runtime.cut_lineage(_shortened(links, left // max(walked_rows, 1000) + 1))
+    ends = _followed(links, walked_rows)
+    roots = placed.filter(first_id & first_pair).select(own)
+    follow = ends.join(roots, ends["to"] == roots[_ORDER], "left_semi").filter("NOT odd").select(F.col("node").alias(_ORDER))
+    stay = runtime.cut_lineage(roots.union(follow))
+    winners = runtime.cut_lineage(placed.join(stay, _ORDER, "left_semi").select(_ORDER, _ID, _PAIR))
+    behind = F.coalesce(own > F.col("_taken_id"), F.lit(False)) | F.coalesce(own > F.col("_taken_pair"), F.lit(False))
+    rest = runtime.cut_lineage(placed.filter(~behind).select(_ORDER, _ID, _PAIR))
+    return stay, *_without_keys(rest, winners, left, hot_min_rows)
+
+
+def _shortened(links: DataFrame, blocks: int) -> DataFrame:
+    """Links (node, to, odd) followed as far as the block of the order goes that holds the node;
+    `to` is always before the node, and `odd` tells whether the two differ."""
+    dealt = links.repartitionByRange(blocks, "node").sortWithinPartitions("node")
+    return dealt.mapInArrow(_shorten, links.schema)
+
+
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: dict[str, tuple] = {}
+    for batch in batches:
+        targets, odds = [], []
+        for node, to, odd in zip(*(batch.column(c).to_pylist() for c in ("node", "to", "odd")), strict=True):
+            further, more = seen.get(str(to), (to, False))
+            seen[str(node)] = further, odd != more
+            targets.append(further)
+            odds.append(odd != more)
+        columns = [batch.column("node"), pa.array(targets, batch.column("to").type), pa.array(odds, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "to", "odd"])
+
+
+def _followed(links: DataFrame, walked_rows: int) -> DataFrame:
+    """Links to the roots. Only nodes that others lead to are followed: a bounded number in one
+    walk, more by doubling the steps each time."""
+    heads, n = runtime.cut_and_count(
+        links.join(links.select(F.col("to").alias("node")).distinct(), "node", "left_semi")
+    )
+    moved = n
+    while moved and n > walked_rows:
+        heads, _, moved = runtime.cut_and_count(_led_on(heads, heads), F.count_if("moved"))
+        heads = heads.drop("moved")
+    if moved:
+        heads = runtime.cut_lineage(_shortened(heads, 1))
+    return _led_on(links, heads).drop("moved")
+
+
+def _led_on(links: DataFrame, heads: DataFrame) -> DataFrame:
+    """The links, each with that of the node it leads to behind it, and whether there is one."""
+    far = heads.select(F.col("node").alias("_node"), F.col("to").alias("_to"), F.col("odd").alias("_odd"))
+    joined = links.join(far, links["to"] == far["_node"], "left")
+    return joined.select(
+        "node", F.coalesce("_to", "to").alias("to"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
+        F.col("_node").isNotNull().alias("moved"),
+    )
+
+
+def _split(edges: DataFrame, left: int, walked_rows: int, hot_min_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(orders that stay in components of at most so many edges, the other edges, their number).
 
     Keys are nodes by their hash: if hashes of different keys met, two components would be
     walked as one, which gives the same rows.
@@ -117,7 +216,20 @@ def _split(edges: DataFrame, walked_rows: int) -> tuple[DataFrame, DataFrame, in
     sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > walked_rows).select("_part")
     rest, left = runtime.cut_and_count(parted.join(large, "_part", "left_semi").drop("_part"))
-    return parted.join(large, "_part", "left_anti"), rest, left
+    return _walked(parted.join(large, "_part", "left_anti")), rest, left
+
+
+def _first_block(edges: DataFrame, left: int, walked_rows: int, hot_min_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(orders that stay in the first block of the order, the later edges still open, their number)."""
+    blocks = left // max(walked_rows, 1) + 1
+    dealt = runtime.cut_lineage(
+        edges.repartitionByRange(blocks, _ORDER).withColumn("_part", F.spark_partition_id().cast("long"))
+    )
+    first = dealt.filter("_part = 0")
+    stay = runtime.cut_lineage(_walked(first))
+    winners = runtime.cut_lineage(first.join(stay, _ORDER, "left_semi").select(_ORDER, _ID, _PAIR))
+    rest = runtime.cut_lineage(dealt.filter("_part > 0").drop("_part"))
+    return stay, *_without_keys(rest, winners, left, hot_min_rows)
 
 
 def _walked(parted: DataFrame) -> DataFrame:

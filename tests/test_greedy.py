@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.operators import greedy
 from postmill.operators.components import components
 from postmill.operators.greedy import greedy_dedup
 from postmill.operators.joins import anti_join_prior
@@ -135,6 +136,41 @@ def test_many_long_chains_are_split_into_components(spark):
     assert run(spark, edges, walked_rows=100, rounds=1) == sequential(edges)
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_a_chain_longer_than_a_walk_takes_few_jobs(spark, mixed):
+    edges = chain(20_000)
+    if mixed:  # the same links, met in an order that leaves no block to itself
+        places = list(range(len(edges)))
+        random.Random(3).shuffle(places)
+        edges = [(places[o], i, p) for o, i, p in edges]
+    group = f"longer chain {mixed}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        assert run(spark, edges, walked_rows=1000) == sorted(sequential(edges))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 150
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_a_dense_component_larger_than_a_walk_is_settled_block_by_block(spark, seed):
+    rng = random.Random(seed)
+    edges = [(o, str(o // 7 + rng.randrange(9)), str(o // 7 + rng.randrange(9))) for o in range(1500)]
+    assert run(spark, edges, walked_rows=150, rounds=1) == sequential(edges)
+
+
+def test_the_first_block_is_settled_and_the_rest_freed_of_its_keys(spark):
+    edges = [(o, str(rng), str(o // 3)) for o in range(300) for rng in [o // 2]]
+    df = spark.createDataFrame(edges, "_o long, i string, p string").select(
+        "_o", F.struct("i").alias("_i"), F.struct("p").alias("_p")
+    )
+    stay, rest, left = greedy._first_block(df, 300, 100, 10**6)
+    got, later = sorted(r[0] for r in stay.collect()), sorted(r[0] for r in rest.select("_o").collect())
+    want = sequential(edges)
+    assert got and later and left == len(later) and got == want[: len(got)] and got[-1] < later[0]
+    assert sequential([edges[o] for o in later]) == want[len(got) :]
+
+
 @pytest.mark.parametrize("walked_rows, rounds", [(0, 3), (60, 2)])
 def test_every_way_to_finish_gives_the_sequential_rows(spark, walked_rows, rounds):
     rng = random.Random(walked_rows)
