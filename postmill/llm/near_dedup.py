@@ -20,9 +20,12 @@ similarity 0.8 shares none of the 32 bands with probability (1 - 0.8^4)^32, abou
 4. Members whose signature rules their hub out meet the other members of the bucket, behind
    the same screens, where these are at most 32. Texts that share no more than a passage can
    crowd a bucket, so the members of larger ones are joined by prefixes of their full sets: a
-   set's shingles are ordered from the rarest among these members, and two sets that could be
-   linked share one within a first part of each, whose length follows from the least common
-   size, shorter for the smaller set. What they share beyond that place must still suffice.
+   set's shingles are put in one order for all, and two sets that could be linked share one
+   within a first part of each, whose length follows from the least common size, shorter for
+   the smaller set. What they share beyond that place must still suffice. Any order finds all
+   links; this one puts shingles of rare slots first, by a table of counts of fixed size, so
+   that each task cuts prefixes on its own and only these leave it. A shingle that one component
+   alone holds pairs nothing and goes before the join.
 5. Members that already are one component never meet again.
 
 No cap cuts any of this off: both ways of step 4 find every link between members.
@@ -37,6 +40,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +60,8 @@ BANDS = 2 * PERMUTATIONS // BAND_ROWS
 SCREEN_EQUAL = 72
 # Members of a bucket, its hub aside, that are paired with each other.
 PAIRED_MEMBERS = 32
+# Counters by which the shingles of crowded buckets are ordered, whatever their number.
+SLOTS = 1 << 18
 
 
 @functools.lru_cache(maxsize=1)
@@ -145,12 +151,38 @@ def _set_of(width: int):
     return packed
 
 
-def _shingles_of(width: int):
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the shingles of the packed sets of a task fall into each slot."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for packed in batch.column(0):
+            np.add.at(counts, np.frombuffer(packed.as_py(), np.uint64) % SLOTS, 1)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
+
+
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """At least the number of sets that hold a shingle, by its slot; of fixed size."""
+    counted = sets.select("packed").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found, out = counted.toArrow(), np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return np.minimum(out, 2**32 - 1).astype(np.uint32)
+
+
+def _prefix(counts: np.ndarray, percent: int):
+    """The first shingles of packed sets, those of rare slots first, up to the place from which
+    too few are left for a link."""
+
     @F.arrow_udf(T.ArrayType(T.LongType()))
-    def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(x.as_py(), width).view(np.int64) for x in texts], pa.list_(pa.int64()))
+    def first(packed: pa.Array) -> pa.Array:
+        out = []
+        for one in packed:
+            own = np.frombuffer(one.as_py(), np.uint64)
+            order = np.argsort(counts[own % SLOTS], kind="stable")  # sets are sorted
+            out.append(own[order[: len(own) - -(-percent * len(own) // 100) + 1]].view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
 
-    return shingles
+    return first
 
 
 def _reaches(common, n, m, percent: int):
@@ -292,20 +324,14 @@ def _prefix_pairs(wanted: DataFrame, texts: DataFrame, labels: DataFrame, width:
     side = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     own = texts.join(side, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     # One Python function a stage: each further one takes a worker more for every running task.
-    sets = own.select("id", _shingles_of(width)(F.col("text").cast("binary")).alias("shingles"))
-    single = written(
-        _labelled(sets, labels, "id", "of").select(
-            "id", "of", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle")
-        )
-    )
-    held = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    # Shingles that no other wanted set has come first and pair nothing, so they are only counted.
-    first = W.partitionBy("id").orderBy("holders", "shingle")
-    place = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("id")) + F.row_number().over(first) - 1
-    ranked = single.join(held, "shingle").withColumn("place", place)
-    # A set of at most the other's size shares at least 2p / (100 + p) of itself, any p / 100.
+    sets = written(_labelled(own.select("id", _set_of(width)(F.col("text").cast("binary")).alias("packed")), labels, "id", "of"))
+    ahead = sets.select("id", "of", F.floor(F.octet_length("packed") / 8).alias("n"), _prefix(_slot_counts(sets), percent)("packed").alias("first"))
+    longer = written(ahead.select("id", "of", "n", F.posexplode("first").alias("place", "shingle")))
+    # Near copies share most of their prefixes; what only one component holds pairs nothing.
+    mixed = longer.groupBy("shingle").agg((F.min("of") != F.max("of")).alias("mixed")).filter("mixed")
+    longer = written(longer.join(mixed, "shingle", "left_semi"))
     behind = F.col("n") - F.col("place")
-    longer = written(ranked.filter(100 * behind >= percent * F.col("n")).drop("holders"))
+    # A set of at most the other's size shares at least 2p / (100 + p) of itself, any p / 100.
     shorter = longer.filter((100 + percent) * behind >= 2 * percent * F.col("n"))
     x = shorter.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "of", "n", "place")))
     y = longer.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("id", "of", "n", "place")))

@@ -65,3 +65,31 @@ def test_both_ways_of_a_bucket_find_the_same(spark, monkeypatch, members):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 2).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_only_prefixes_of_crowded_texts_are_spread_out(spark, monkeypatch):
+    """Near copies of one component share all their shingles, with a few texts besides."""
+    draw = random.Random(3)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    passage = [word() for _ in range(100)]
+    texts = [[word() for _ in range(3)] + passage + [word() for _ in range(3)] for _ in range(80)]
+    texts += [[word() for _ in range(60)] + passage for _ in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(40)], "node long, component long")
+    spread, write = [], near_dedup.written
+
+    def counted(df):
+        out = write(df)
+        if "shingle" in out.columns:
+            spread.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    got = {tuple(sorted(r)) for r in near_dedup._prefix_pairs(docs.select("id"), docs, labels, 2, 80).collect()}
+    sets = [shingles(" ".join(t), 2) for t in texts]
+    links = {
+        (x, y) for x, y in itertools.combinations(range(len(texts)), 2)
+        if y >= 40 and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
+    }
+    assert links and links <= got and all(y >= 40 for _, y in got)
+    assert max(spread) < sum(map(len, sets)) / 4
