@@ -25,23 +25,62 @@ _QUOTE, _BACKSLASH, _SPACE = 34, 92, b" \t\r\n"
 _BLOCK = ["file", "block"]
 
 
+def _table(*marks: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[[ord(m) for m in marks]] = True
+    return table
+
+
+_MARKS, _CLOSING = _table('"', "\\", "{", "}", "[", "]"), _table("}", "]")
+
+
+class Brackets:
+    """The brackets of a text outside its strings. What does not depend on the state in which
+    the text starts is found once, and only quotes, backslashes and brackets are looked at."""
+
+    def __init__(self, raw: bytes):
+        text = np.frombuffer(raw, np.uint8)
+        at = np.flatnonzero(_MARKS[text])
+        kind = text[at]
+        quotes, slashes = at[kind == _QUOTE], at[kind == _BACKSLASH]
+        self._at = at[(kind != _QUOTE) & (kind != _BACKSLASH)]
+        self._closes = _CLOSING[text[self._at]]
+        if len(slashes):
+            first = np.r_[True, np.diff(slashes) != 1]
+            run = np.maximum.accumulate(np.where(first, slashes, 0))  # where its run begins
+            last = np.searchsorted(slashes, quotes) - 1
+            behind = (last >= 0) & (slashes[last] == quotes - 1)
+            begin = np.where(behind, run[last], quotes)
+            ends_behind = slashes[-1] == len(text) - 1
+            self._end = int(run[-1]) if ends_behind else len(text)
+        else:
+            begin, self._end = quotes, len(text)
+        self._size = len(text)
+        self._quotes, self._escaped = quotes, (quotes - begin) % 2 == 1
+        # A backslash before the text turns the first run, or the first byte, around.
+        self._first = begin == 0
+
+    def outside(self, state: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(places, whether they close, depth behind each counted from the start, the state
+        behind the last byte) of the brackets, if the text starts in a state."""
+        escaped = self._escaped ^ self._first if state == ESCAPED else self._escaped
+        quotes = self._quotes[~escaped]
+        started = state != OUTSIDE
+        free = (np.searchsorted(quotes, self._at) + started) % 2 == 0
+        places, closes = self._at[free], self._closes[free]
+        inside = (len(quotes) + started) % 2 == 1
+        behind = (self._size - self._end + (state == ESCAPED and self._end == 0)) % 2 == 1
+        end = (ESCAPED if behind else INSIDE) if inside else OUTSIDE
+        return places, closes, np.cumsum(1 - 2 * closes.astype(np.int64)), end
+
+
 def scan(raw: bytes, state: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(depth after each byte, counted from the start; whether the byte closes a bracket; the
     state behind the last byte) of text that starts in a state."""
-    text = np.frombuffer(raw, np.uint8)
-    at = np.arange(len(text))
-    # The last byte before each one that is no backslash; a backslash may stand before the text.
-    floor = -2 if state == ESCAPED else -1
-    other = np.where(text != _BACKSLASH, at, floor)
-    before = np.concatenate(([floor], np.maximum.accumulate(other)))
-    behind = (np.arange(-1, len(text)) - before) % 2 == 1
-    quote = (text == _QUOTE) & ~behind[:-1]
-    inside = (np.cumsum(quote) - quote + (state != OUTSIDE)) % 2 == 1
-    closing = ((text == ord("}")) | (text == ord("]"))) & ~inside
-    opening = ((text == ord("{")) | (text == ord("["))) & ~inside
-    depth = np.cumsum(opening.astype(np.int64) - closing)
-    ends_inside = (int(quote.sum()) + (state != OUTSIDE)) % 2 == 1
-    return depth, closing, ESCAPED if ends_inside and behind[-1] else INSIDE if ends_inside else OUTSIDE
+    places, closes, _, end = Brackets(raw).outside(state)
+    step, closing = np.zeros(len(raw), np.int64), np.zeros(len(raw), bool)
+    step[places], closing[places] = 1 - 2 * closes.astype(np.int64), closes
+    return np.cumsum(step), closing, end
 
 
 class Split:
@@ -56,11 +95,15 @@ class Split:
     def add(self, raw: bytes) -> None:
         self.size += len(raw)
         self.first = self.first or (raw.lstrip(_SPACE)[:1] or b"\0")[0]
-        scanned = {state: scan(raw, state) for state in set(self.now)}
+        brackets = Brackets(raw)
+        summed = {}
+        for state in set(self.now):
+            _, closes, depth, end = brackets.outside(state)
+            summed[state] = np.unique(depth[closes]), int(depth[-1]) if len(depth) else 0, end
         for start in range(3):
-            depth, closing, end = scanned[self.now[start]]
-            self.landings[start].update((np.unique(depth[closing]) + self.depth[start]).tolist())
-            self.depth[start] += int(depth[-1])
+            landings, depth, end = summed[self.now[start]]
+            self.landings[start].update((landings + self.depth[start]).tolist())
+            self.depth[start] += depth
             self.now[start] = end
 
 
@@ -143,15 +186,15 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = raw[:-1]
             if not raw:
                 continue
-            depths, closing, state = scan(raw, state)
+            places, closes, depths, state = Brackets(raw).outside(state)
             at = 0
-            for end in (np.flatnonzero(closing & (depths + depth == start["base"])) + 1).tolist():
+            for end in (places[closes & (depths + depth == start["base"])] + 1).tolist():
                 text, at = raw[at:end], end
                 out.append((key[0], began, key[1], began == key[1], b"".join((*open_, text))))
                 began, open_ = key[1], []
             if at < len(raw):
                 open_.append(raw[at:])
-            depth += int(depths[-1])
+            depth += int(depths[-1]) if len(depths) else 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PIECES, strict=True)], schema=_PIECES)
     if key and open_:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 
 import pytest
 
@@ -75,3 +76,61 @@ def test_any_cut_of_a_text_gives_the_same_states():
         two, two_closing, last = json_array.scan(text[cut:], state)
         assert last == end
         assert [*one, *(two + one[-1])] == list(depth) and [*one_closing, *two_closing] == list(closing)
+
+
+def states_of(raw, state):
+    """(places, closing, depths, end) of the brackets outside strings, byte by byte."""
+    depth, found = 0, []
+    for at, byte in enumerate(raw):
+        char = chr(byte)
+        if state == json_array.ESCAPED:
+            state = json_array.INSIDE
+        elif state == json_array.INSIDE:
+            state = {"\\": json_array.ESCAPED, '"': json_array.OUTSIDE}.get(char, state)
+        elif char == '"':
+            state = json_array.INSIDE
+        elif char in "{[]}":
+            depth += 1 if char in "{[" else -1
+            found.append((at, char in "]}", depth))
+    return found, state
+
+
+def test_brackets_equal_a_walk_over_the_bytes():
+    draw = random.Random(8)
+    for _ in range(3000):
+        raw = "".join(draw.choice(['"', "\\", "\\", "{", "}", "[", "]", "a", "é"]) for _ in range(draw.randrange(1, 14))).encode()
+        for state in range(3):
+            if any("\\" in part for part in outside_parts(raw.decode(), state)):
+                continue
+            places, closes, depths, end = json_array.Brackets(raw).outside(state)
+            found = list(zip(places.tolist(), closes.tolist(), depths.tolist(), strict=True))
+            assert (found, end) == states_of(raw, state), raw
+
+
+def outside_parts(text, state):
+    """The stretches outside strings; JSON has no backslash there."""
+    part, out = "", []
+    for char in text:
+        if state == json_array.OUTSIDE:
+            part += char
+        if state == json_array.ESCAPED:
+            state = json_array.INSIDE
+        elif state == json_array.INSIDE:
+            state = {"\\": json_array.ESCAPED, '"': json_array.OUTSIDE}.get(char, state)
+        elif char == '"':
+            state = json_array.INSIDE
+            out.append(part)
+            part = ""
+    return [*out, part]
+
+
+def test_a_split_is_summed_over_its_marks_not_its_bytes():
+    raw = json.dumps([{"id": i, "text": "nothing to see here " * 40} for i in range(1000)]).encode()
+    split = json_array.Split()
+    tracemalloc.start()
+    try:
+        split.add(raw)
+        assert tracemalloc.get_traced_memory()[1] < 4 * len(raw)
+    finally:
+        tracemalloc.stop()
+    assert split.size == len(raw) and split.depth[json_array.OUTSIDE] == 0
