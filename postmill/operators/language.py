@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ def language_profile(labelled: DataFrame, text: str = "text", lang: str = "lang"
         F.col(text).alias("text"), F.col(lang).alias("lang")
     )
     grams = (
-        labelled.mapInPandas(_count_trigrams, "lang string, bucket int, n long")
+        labelled.mapInArrow(_count_trigrams, "lang string, bucket int, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     )
     texts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -46,16 +46,21 @@ def language_profile(labelled: DataFrame, text: str = "text", lang: str = "lang"
     return seen.unionByName(unseen).unionByName(prior)
 
 
-def _count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts become Python objects one by one, so a task holds one of them beside its batch."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for one, lang in zip(batch.text, batch.lang):
-            if one is not None:
-                found = np.bincount(trigram_buckets(one), minlength=BUCKETS)
-                counts[lang] = counts[lang] + found if lang in counts else found
+        for one, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
+            if one.is_valid:
+                found = np.bincount(trigram_buckets(one.as_py()), minlength=BUCKETS)
+                if lang in counts:
+                    counts[lang] += found
+                else:
+                    counts[lang] = found
     for lang, found in counts.items():
         seen = np.flatnonzero(found)
-        yield pd.DataFrame({"lang": lang, "bucket": seen, "n": found[seen]})
+        columns = [pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(found[seen], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
 
 
 def _weight(share: Column) -> Column:

@@ -1,11 +1,15 @@
 """Language detectors."""
 
+import tracemalloc
+
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from postmill import ProfileDetector, StopWordDetector
-from postmill.operators.language import language_filter, language_profile
+from postmill.functions.trigrams import BUCKETS
+from postmill.operators.language import _count_trigrams, language_filter, language_profile
 
 EN = "We keep the tools in the shed behind the house, and nobody has asked for them since last spring."
 FR = "Nous avons rangé les outils derrière la maison, et personne ne les a demandés depuis le printemps."
@@ -76,3 +80,27 @@ def test_user_function_as_detector(spark):
     df = spark.createDataFrame([("fr",), ("en",)], "t string").withColumn("l", Custom().detect(F.col("t")))
     assert [r.t for r in language_filter(df, "l", "Fr").collect()] == ["fr"]
     assert language_filter(df, "l", "").count() == 0
+
+
+def traced(function):
+    tracemalloc.start()
+    try:
+        function()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_texts_of_a_batch_are_taken_one_by_one():
+    """What counting and judging hold beside their batch does not grow with the batch."""
+    detector = ProfileDetector({"a": [0] * BUCKETS, "b": [1] * BUCKETS})
+    held = {}
+    for n in (100, 1000):
+        texts = pa.array([f"word{i} " * 800 for i in range(n - 1)] + [None])
+        batch = pa.RecordBatch.from_arrays([texts, pa.array(["a"] * n)], ["text", "lang"])
+        counted = []
+        held[n] = traced(lambda: counted.extend(_count_trigrams(iter([batch])))), traced(lambda: detector._judged(texts))
+        assert [c.column("lang")[0].as_py() for c in counted] == ["a"]
+        assert detector._judged(texts).to_pylist()[-1] == {"lang": "unknown", "confidence": 0.0}
+    text_bytes = 900 * 800 * 6
+    assert all(large - small < text_bytes / 4 for small, large in zip(held[100], held[1000], strict=True))
