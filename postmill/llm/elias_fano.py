@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -86,13 +87,14 @@ class EliasFano:
             out[some] = self._select0(high[some] - 1) - (high[some] - 1)
         return out
 
-    def search(self, values: np.ndarray) -> np.ndarray:
-        """Place of each value, -1 where it is absent: the run of its upper bits is found in
-        the unary part and searched by low bits."""
+    def search(self, values: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | None = None) -> np.ndarray:
+        """Place of each value within [begin, end), -1 where it is absent: the run of its upper
+        bits is found in the unary part and searched by low bits."""
         if not self.size or not len(values):
             return np.full(len(values), -1, np.int64)
         high = (values >> _U(self.low_bits)).astype(np.int64)
-        start, end = self.below(high), self.below(high + 1)
+        start = np.maximum(self.below(high), begin)
+        end = np.minimum(self.below(high + 1), self.size if end is None else end)
         want = values & _U((1 << self.low_bits) - 1)
         stop = end
         while (open_ := start < stop).any():
@@ -106,11 +108,15 @@ class EliasFano:
         found[found] = self.low_at(start[found]) == want[found]
         return np.where(found, start, -1)
 
+    @cached_property
+    def _ones(self) -> np.ndarray:
+        """How many values end before each word of the upper bits."""
+        return np.cumsum(np.concatenate(([0], np.bitwise_count(self.high)))).astype(np.int64)
+
     def access(self, places: np.ndarray) -> np.ndarray:
         """The values at the given places."""
-        ones = np.cumsum(np.concatenate(([0], np.bitwise_count(self.high)))).astype(np.int64)
-        word = np.searchsorted(ones, places, "right") - 1
-        upper = word * 64 + _select_in_word(self.high[word], places - ones[word]) - places
+        word = np.searchsorted(self._ones, places, "right") - 1
+        upper = word * 64 + _select_in_word(self.high[word], places - self._ones[word]) - places
         return upper.astype(_U) << _U(self.low_bits) | self.low_at(places)
 
 
@@ -129,15 +135,16 @@ def dequantise(codes: np.ndarray) -> np.ndarray:
 @dataclass
 class Trie:
     """Contexts, each with its successors: the context's backoff and the successors'
-    discounted probabilities, quantised. Successors lie in one sequence, those of a context
-    between its pointer and the next one's."""
+    discounted probabilities, quantised. All levels are Elias-Fano sequences: the contexts, the
+    pointers to where the successors of each begin, and the successors. Those of a context are
+    raised by the last value of the range before, so the sequence rises and each range is read
+    relative to its own start."""
 
-    contexts: np.ndarray
+    contexts: EliasFano
     backoffs: np.ndarray
     pointers: EliasFano
     successors: EliasFano
     probabilities: np.ndarray
-    bits: int
 
     @classmethod
     def build(cls, contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray, bits: int, discount: float) -> Trie:
@@ -147,14 +154,17 @@ class Trie:
         size = np.diff(np.append(start, len(contexts)))
         total = np.add.reduceat(counts, start) if len(own) else np.zeros(0)
         at = np.repeat(np.arange(len(own)), size)
-        values = at.astype(_U) << _U(bits) | successors
+        last = successors[start + size - 1]
+        if last.astype(np.float64).sum() >= 2.0**63:
+            raise ValueError("too many contexts in one shard; deal them to more")
+        above = np.cumsum(last, dtype=_U)
+        values = (above - last)[at] + successors
         return cls(
-            own,
+            EliasFano.build(own, 1 << 64),
             quantise(np.log10(discount * size / total)),
             EliasFano.build(np.append(start, len(contexts)).astype(_U), len(contexts) + 1),
-            EliasFano.build(values, max(1, len(own)) << bits),
+            EliasFano.build(values, (int(above[-1]) if len(own) else 0) + (1 << bits)),
             quantise(np.log10((counts - discount) / total[at])),
-            bits,
         )
 
     def mapped(self) -> Trie:
@@ -169,31 +179,36 @@ class Trie:
                 return array.dtype, place, len(array)
 
             with os.fdopen(handle, "wb") as file:
-                plain = [put(a) for a in (self.contexts, self.backoffs, self.probabilities)]
-                coded = [[put(a) for a in (s.low, s.high, s.zeros)] for s in (self.pointers, self.successors)]
+                levels = self.contexts, self.pointers, self.successors
+                plain = [put(a) for a in (self.backoffs, self.probabilities)]
+                coded = [[put(a) for a in (s.low, s.high, s.zeros)] for s in levels]
             got = lambda d, o, n: np.memmap(path, d, "r", o, (n,)) if n else np.zeros(0, d)
-            contexts, backoffs, probabilities = (got(*x) for x in plain)
-            pointers, successors = (
-                EliasFano(s.size, s.low_bits, [got(*x) for x in parts])
-                for s, parts in zip((self.pointers, self.successors), coded, strict=True)
+            backoffs, probabilities = (got(*x) for x in plain)
+            contexts, pointers, successors = (
+                EliasFano(s.size, s.low_bits, [got(*x) for x in parts]) for s, parts in zip(levels, coded, strict=True)
             )
-            return Trie(contexts, backoffs, pointers, successors, probabilities, self.bits)
+            return Trie(contexts, backoffs, pointers, successors, probabilities)
         finally:
             os.unlink(path)
 
     def context_codes(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place or -1, code of the backoff or 0) of each context."""
-        if not len(self.contexts):
-            return np.full(len(contexts), -1, np.int64), np.zeros(len(contexts), np.uint16)
-        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
-        known = self.contexts[at] == contexts
-        return np.where(known, at, -1), np.where(known, self.backoffs[at], 0).astype(np.uint16)
-
-    def codes(self, places: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Code of the probability of each successor of the context at a place, 0 for none."""
-        out = np.zeros(len(places), np.uint16)
-        known = np.flatnonzero(places >= 0)
-        found = self.successors.search(places[known].astype(_U) << _U(self.bits) | successors[known])
+        places, codes = self.contexts.search(contexts), np.zeros(len(contexts), np.uint16)
+        known = places >= 0
+        codes[known] = self.backoffs[places[known]]
+        return places, codes
+
+    def codes(self, places: np.ndarray, sizes: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Code of the probability of each successor, 0 for none: so many of each context, which
+        is given by its place; they are sought between its pointer and the next one."""
+        out = np.zeros(len(successors), np.uint16)
+        own = places[places >= 0]
+        begin, end = (self.pointers.access(p).astype(np.int64) for p in (own, own + 1))
+        above = np.zeros(len(own), _U)
+        above[begin > 0] = self.successors.access(begin[begin > 0] - 1)
+        known = np.flatnonzero(np.repeat(places >= 0, sizes))
+        of = np.repeat(np.arange(len(own)), sizes[places >= 0])
+        found = self.successors.search(above[of] + successors[known], begin[of], end[of])
         hit = found >= 0
         out[known[hit]] = self.probabilities[found[hit]]
         return out

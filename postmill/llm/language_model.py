@@ -8,8 +8,9 @@ probability alone. Texts start with a start mark and end with an end token.
 Neither corpus nor model is ever in one place. Documents are packed into batches by a hash of
 their id. Each batch asks each shard once for every distinct word and bigram that it holds,
 and adds how often its training documents hold them. A shard sums the counts up, builds its
-part of the trie (contexts, Elias-Fano pointers and successors, quantised probabilities),
-maps it from a file and answers every batch by context-relative successor search. The batch
+part of the trie (contexts, pointers and successors as Elias-Fano levels, quantised
+probabilities), maps it from a file and answers every batch: a context is found in its level, and
+its successors between its pointer and the next, relative to that range. The batch
 then sums its documents' scores. A bigram that a third of all documents hold costs one entry
 a batch, so no key is hot; what moves grows with the corpus.
 
@@ -174,7 +175,7 @@ def _answer(discount: float):
             known = counts[at[place : place + len(own)]]
             place += len(own)
             places, backoffs = trie.context_codes(contexts)
-            codes = trie.codes(np.repeat(places, sizes), _wide(low))
+            codes = trie.codes(places, sizes, _wide(low))
             rows.append(_frame(known, backoffs, codes))
         shard, n = key[0].as_py(), len(rows)
         return pa.table({

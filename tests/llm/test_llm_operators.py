@@ -24,7 +24,7 @@ from postmill.llm import (
     warc,
     winnowing,
 )
-from postmill.llm.elias_fano import EliasFano
+from postmill.llm.elias_fano import EliasFano, Trie, quantise
 
 DOCS = "doc_id long, text string, a string, key long, label double"
 
@@ -149,6 +149,34 @@ def test_elias_fano_finds_what_is_there():
         assert (coded.access(np.arange(len(values))) == values).all()
 
 
+@pytest.mark.parametrize("mapped", [False, True])
+def test_trie_levels_are_followed_by_their_pointers(mapped):
+    draw = np.random.default_rng(1)
+    names = np.unique(np.concatenate((np.array([0, 2**64 - 1], np.uint64), draw.integers(0, 2**64, 300, np.uint64))))
+    words = np.unique(np.concatenate(([0, 2**40 - 1], draw.integers(0, 2**40, 40))).astype(np.uint64))
+    pairs = {(int(draw.choice(names[::2])), int(draw.choice(words))): int(draw.integers(1, 9)) for _ in range(2000)}
+    context, successor = (np.array(x, np.uint64) for x in zip(*sorted(pairs), strict=True))
+    trie = Trie.build(context, successor, np.array([pairs[p] for p in sorted(pairs)], float), 40, 0.75)
+    trie = trie.mapped() if mapped else trie
+    levels = trie.contexts, trie.pointers, trie.successors
+    assert all(isinstance(level, EliasFano) for level in levels) and trie.pointers.size == trie.contexts.size + 1
+    places, backoffs = trie.context_codes(names)
+    own = sorted({a for a, _ in pairs})
+    assert places.tolist() == [own.index(int(n)) if int(n) in own else -1 for n in names]
+    got = trie.codes(places, np.full(len(names), len(words)), np.tile(words, len(names))).reshape(len(names), -1)
+    for name, backoff, codes in zip(names.tolist(), backoffs, got, strict=True):
+        after = {b: n for (a, b), n in pairs.items() if a == name}
+        total = sum(after.values())
+        assert backoff == (quantise(np.log10(np.array([0.75 * len(after) / total])))[0] if after else 0)
+        want = [quantise(np.log10(np.array([(after[w] - 0.75) / total])))[0] if w in after else 0 for w in words.tolist()]
+        assert codes.tolist() == want
+    # The answer comes from the range between two pointers: without it, nothing is found.
+    trie.pointers = EliasFano.build(np.zeros(len(own) + 1, np.uint64), 1)
+    assert not trie.codes(places, np.full(len(names), len(words)), np.tile(words, len(names))).any()
+    empty = Trie.build(context[:0], successor[:0], np.zeros(0), 40, 0.75).mapped()
+    assert empty.context_codes(names)[0].max() == -1 and not empty.codes(np.full(3, -1), np.ones(3, int), words[:3]).any()
+
+
 def test_language_model_equals_brute_force(spark, corpus):
     trains = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
     rows = corpus.collect()
