@@ -41,6 +41,8 @@ MATRIX_BYTES = 512
 # Bytes of text that a round takes, and cells of a matrix: a worker holds some 40 bytes a cell.
 ROUND_BYTES = 1 << 19
 MATRIX_CELLS = 1 << 18
+# Texts of an Arrow batch that are taken out of it at once.
+TAKEN_ROWS = 1024
 _NONE = np.int32(2**31 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 # Below U+0250 the classes of the pattern are these ranges, which the faster built-in
@@ -290,14 +292,15 @@ def code_texts(docs: DataFrame, text: str = "text", output: str = "coded", path:
         own = vocabulary(ranks.value, pattern)
         try:
             for batch in batches:
-                texts = ["" if t is None else t for t in batch.to_pylist()]
-                ids = own.encode_batch(texts)
-                decoded, same = [], []
-                for text, packed in zip(texts, ids, strict=True):
-                    raw = own.decode(packed)
-                    same.append(raw == text.encode())
-                    if keep_decoded:
-                        decoded.append(raw)
+                ids, decoded, same = [], [], []
+                for at in range(0, len(batch), TAKEN_ROWS):
+                    texts = ["" if t is None else t for t in batch.slice(at, TAKEN_ROWS).to_pylist()]
+                    for text, packed in zip(texts, own.encode_batch(texts), strict=True):
+                        raw = own.decode(packed)
+                        ids.append(packed)
+                        same.append(raw == text.encode())
+                        if keep_decoded:
+                            decoded.append(raw)
                 columns = {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.binary()), "same": pa.array(same, pa.bool_())}
                 yield pa.StructArray.from_arrays([columns[n] for n in names], names)
         finally:

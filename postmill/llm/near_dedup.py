@@ -325,8 +325,9 @@ def _prefix_pairs(wanted: DataFrame, texts: DataFrame, labels: DataFrame, width:
     own = texts.join(side, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     # One Python function a stage: each further one takes a worker more for every running task.
     sets = written(_labelled(own.select("id", _set_of(width)(F.col("text").cast("binary")).alias("packed")), labels, "id", "of"))
-    ahead = sets.select("id", "of", F.floor(F.octet_length("packed") / 8).alias("n"), _prefix(_slot_counts(sets), percent)("packed").alias("first"))
-    longer = written(ahead.select("id", "of", "n", F.posexplode("first").alias("place", "shingle")))
+    n = F.floor(F.octet_length("packed") / 8).alias("n")
+    # Spread out where it is made: of a column, Spark would filter empty ones by a second call.
+    longer = written(sets.select("id", "of", n, F.posexplode(_prefix(_slot_counts(sets), percent)("packed")).alias("place", "shingle")))
     # Near copies share most of their prefixes; what only one component holds pairs nothing.
     mixed = longer.groupBy("shingle").agg((F.min("of") != F.max("of")).alias("mixed")).filter("mixed")
     longer = written(longer.join(mixed, "shingle", "left_semi"))
@@ -365,5 +366,7 @@ def near_duplicates(
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of the document with the least id in each component, all columns kept."""
     result = near_duplicates(docs, width, percent, doc_id, text)
-    dropped = result.filter("NOT kept").select(F.col(doc_id).alias(fresh(docs, "_dropped"))).distinct()
-    return docs.join(dropped, docs[doc_id] == dropped[dropped.columns[0]], "left_anti")
+    # Texts stay where they are read: the ids to drop go to them by broadcast if they measure small.
+    dropped = written(result.filter("NOT kept").select(F.col(doc_id).alias(fresh(docs, "_dropped"))).distinct())
+    side = F.broadcast(dropped) if fits_broadcast(dropped) else dropped
+    return docs.join(side, docs[doc_id] == dropped[dropped.columns[0]], "left_anti")

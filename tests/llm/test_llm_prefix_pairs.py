@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from plan_reading import exchanged_columns, python_functions
 from postmill.llm import near_dedup
 
 
@@ -93,3 +94,25 @@ def test_only_prefixes_of_crowded_texts_are_spread_out(spark, monkeypatch):
     }
     assert links and links <= got and all(y >= 40 for _, y in got)
     assert max(spread) < sum(map(len, sets)) / 4
+
+
+def test_prefixes_are_cut_by_one_python_function_a_stage(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c d {i}") for i in range(20)], "id long, text string")
+    labels = spark.createDataFrame([(0, 0)], "node long, component long")
+    called, write = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df: called.append((df.columns, python_functions(df))) or write(df))
+    near_dedup._prefix_pairs(docs.select("id"), docs, labels, 2, 80)
+    assert [n for columns, n in called if "shingle" in columns] == [1, 0]
+    assert max(n for _, n in called) == 1
+
+
+def test_texts_are_not_shuffled_to_drop_copies(spark, monkeypatch, tmp_path):
+    docs = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other words that nobody else has"), (3, "a b"), (None, "x"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    want = {(i, t) for i, t in docs if i != 2}
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    kept = near_dedup.keep_one(stored)
+    assert not any("text" in columns for columns in exchanged_columns(kept))
+    assert {tuple(r) for r in kept.collect()} == want and kept.count() == len(want)
+    monkeypatch.setattr(near_dedup, "fits_broadcast", lambda df: False)
+    assert {tuple(r) for r in near_dedup.keep_one(stored).collect()} == want

@@ -19,3 +19,8 @@ def exchanged_columns(df) -> list[list[str]]:
 
     walk(df._jdf.queryExecution().executedPlan())
     return found
+
+
+def python_functions(df) -> int:
+    """Steps of the plan that call Python, each of which takes workers of its own."""
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
