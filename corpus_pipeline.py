@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from postmill.llm import bpe, decontamination, near_dedup, personal_data, toxici
 from postmill.llm.common import table, text_or_empty, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Rows of an Arrow batch. A batch stands in the executor and in its Python worker, several times
+# over while it grows; of whole texts, Spark's 10,000 rows take hundreds of MB an executor.
+ARROW_ROWS = 1024
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +51,25 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def small_batches(stage):
+    """The stage, in a session whose Arrow batches hold at most `ARROW_ROWS` rows from then on."""
+
+    @functools.wraps(stage)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        if rows <= 0 or rows > ARROW_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return staged
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near duplicates", drop_near_copies),
-    ("decontamination", drop_contaminated),
-    ("personal data", mask_personal_data),
-    ("encoding", encode),
+    ("toxicity", small_batches(drop_toxic)),
+    ("near duplicates", small_batches(drop_near_copies)),
+    ("decontamination", small_batches(drop_contaminated)),
+    ("personal data", small_batches(mask_personal_data)),
+    ("encoding", small_batches(encode)),
 ]
 # Fitted trees, loopy messages and the splitting pattern have no SQL form; the tests hold
 # each stage against a brute-force version.

@@ -124,3 +124,15 @@ def test_empty_tables_and_further_columns(spark, tables):
         assert STAGES[name](spark, wide, tables).columns == COLUMNS
         assert STAGES[name](spark, docs.limit(0), tables).count() == 0
     assert STAGES["encoding"](spark, docs.limit(0), tables).count() == 0
+
+
+def test_stages_bound_the_rows_of_an_arrow_batch(spark, tables):
+    docs, name = spark.read.parquet(f"{tables}/documents.parquet"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", str(corpus_pipeline.ARROW_ROWS)), ("0", str(corpus_pipeline.ARROW_ROWS)), ("100", "100")):
+            spark.conf.set(name, given)
+            STAGES["encoding"](spark, docs, tables)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
